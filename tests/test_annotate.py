@@ -1,0 +1,211 @@
+import json
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from recordgauge import DEFAULT, Contract, annotate
+from recordgauge.functions.strict_json import END_MARK
+from tests.truth import model, truth_table
+
+GOOD = {"event_id": "e", "kind": "CLAIM_REPLAYED", "occurred_at": "t", "subject_id": "s", "payload": {}}
+SAMPLE = """{
+  "event_id": "sample-1",
+  "kind": "CATALOG_FROZEN",
+  "occurred_at": "2026-01-02T09:00:00+08:00",
+  "subject_id": "subject-1",
+  "payload": {
+    "note": "仅用于格式核对"
+  }
+}
+"""
+
+
+def verdicts(spark, texts, contract=DEFAULT):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    rows = annotate(df, contract).orderBy("i").collect()
+    for row in rows:
+        assert (row.valid is None) == (row.problems is None) == (row.status != "checked")
+        assert row.valid is None or row.valid == (row.problems == [])
+    return [(r.status, r.problems) for r in rows]
+
+
+def test_truth_table(spark):
+    table = truth_table()
+    assert len(table) == 41
+    got = verdicts(spark, [t["v"] for t in table])
+    for t, verdict in zip(table, got):
+        assert verdict == (t["status"], t["problems"]), t["case"]
+
+
+def test_truth_table_agrees_with_the_model():
+    for t in truth_table():
+        if t["case"] != "bom":  # str input to json.loads raises on it by itself
+            assert model(t["v"]) == (t["status"], t["problems"]), t["case"]
+
+
+def test_multi_line_sample_is_valid(spark):
+    assert verdicts(spark, [SAMPLE]) == [("checked", [])]
+
+
+def test_default_contract():
+    assert DEFAULT.required == ("event_id", "kind", "occurred_at", "subject_id", "payload")
+    assert DEFAULT.vocab_field == "kind"
+    assert len(DEFAULT.vocab) == 5
+
+
+@pytest.mark.parametrize("kind", DEFAULT.vocab)
+def test_every_kind_is_known(spark, kind):
+    assert verdicts(spark, [json.dumps({**GOOD, "kind": kind})]) == [("checked", [])]
+
+
+def test_every_subset_of_missing_names(spark):
+    names = list(GOOD)
+    texts = [
+        json.dumps({n: GOOD[n] for j, n in enumerate(names) if bits >> j & 1}) for bits in range(32)
+    ]
+    assert verdicts(spark, texts) == [model(t) for t in texts]
+
+
+def test_text_around_the_end_mark(spark):
+    good = json.dumps(GOOD)
+    escaped = "\\u0039" + END_MARK[1:]
+    as_double = "9.007199254740993e15"
+    texts = [
+        json.dumps({**GOOD, "payload": int(END_MARK)}),
+        json.dumps({**GOOD, "payload": END_MARK}),
+        json.dumps({**GOOD, "payload": [int(END_MARK)]}),
+        END_MARK,
+        f'"{END_MARK}"',
+        f"[{END_MARK}]",
+        *(
+            f"{good}{tail}"
+            for mark in (END_MARK, f'"{END_MARK}"', f'"{escaped}"', as_double, END_MARK + ".0", END_MARK + ".5")
+            for tail in (f",{mark}", f",{mark}]", f",{mark}],[1", f",{mark},", f'],{mark}', f'}},{mark}')
+        ),
+        f'{{"a":1}},"r":{{"b":{END_MARK}}}',
+        f'{good}],[{END_MARK}',
+    ]
+    assert verdicts(spark, texts) == [model(t) for t in texts]
+
+
+def test_long_tokens_are_json(spark):
+    texts = [
+        json.dumps(GOOD)[:-1] + ',"n":' + "1" * 5000 + "}",
+        json.dumps(GOOD)[:-1] + ',"n":0.' + "1" * 5000 + "}",
+        json.dumps({**GOOD, "payload": "x" * 21_000_000}),
+        json.dumps({**GOOD, "payload": "x" * 21_000_000}) + "}",
+    ]
+    assert [v for v in verdicts(spark, texts)] == [("checked", [])] * 3 + [("malformed", None)]
+
+
+def test_deep_text_neither_fails_nor_recurses(spark):
+    def nested(n):
+        return '{"a":[' * n + "]}" * n
+
+    texts = [
+        '{"kind":' + nested(490) + "}",
+        '{"payload":' + nested(490) + "}",
+        "1," + nested(490),
+        nested(5000),
+    ]
+    got = verdicts(spark, texts)
+    assert got[0] == ("checked", ["event_id", "occurred_at", "subject_id", "payload", "kind"])
+    assert got[1] == ("checked", ["event_id", "kind", "occurred_at", "subject_id", "kind"])
+    assert got[2] == ("malformed", None)
+    assert got[3] == ("malformed", None)  # over the parser's 1,000 levels
+
+
+def test_escaped_names_and_empty_name(spark):
+    texts = [
+        json.dumps(GOOD).replace('"kind"', '"\\u006bind"'),
+        json.dumps({**GOOD, "": 1}),
+        json.dumps({"": GOOD}),
+        json.dumps({"a.kind": 1, "$": 2}),
+    ]
+    assert verdicts(spark, texts) == [model(t) for t in texts]
+
+
+def test_words_that_look_like_other_types(spark):
+    contract = Contract(("k",), "k", ("5", "true", "null", "[1]", '{"a":1}', "", "1.5", 'q"\\'))
+    values = [5, True, None, [1], {"a": 1}, 1.5, *contract.vocab]
+    texts = [json.dumps({"k": v}) for v in values]
+    assert verdicts(spark, texts, contract) == [("checked", ["k"])] * 6 + [("checked", [])] * 8
+
+
+def test_vocabulary_field_that_is_not_required(spark):
+    contract = Contract(("a",), "b", ("x",))
+    texts = ['{"a":1,"b":"x"}', '{"a":1}', '{"b":"x"}', "{}"]
+    assert [p for _, p in verdicts(spark, texts, contract)] == [[], ["b"], ["a"], ["a", "b"]]
+
+
+@pytest.mark.parametrize("name", ["a.b", "a b", 'a"b', "a]b", "a[0]", "a\\b", "$", "中", "*"])
+def test_odd_field_names(spark, name):
+    contract = Contract((name,), name, ("x",))
+    assert verdicts(spark, [json.dumps({name: "x"}), "{}"], contract) == [
+        ("checked", []),
+        ("checked", [name, name]),
+    ]
+
+
+def test_required_name_with_a_quote(spark):
+    contract = Contract(("it's",), "k", ("x",))
+    assert verdicts(spark, [json.dumps({"it's": None, "k": "x"}), '{"k":"x"}'], contract) == [
+        ("checked", []),
+        ("checked", ["it's"]),
+    ]
+
+
+def test_empty_lists(spark):
+    assert verdicts(spark, ["{}", '{"k":"x"}'], Contract((), "k", ())) == [("checked", ["k"])] * 2
+
+
+def test_contract_refuses_what_it_cannot_hold():
+    with pytest.raises(ValueError):
+        Contract(("a", "a"))
+    with pytest.raises(ValueError):
+        Contract(vocab_field="it's")
+    with pytest.raises(ValueError):
+        Contract(vocab_field="")
+    with pytest.raises(TypeError):
+        Contract(required="abc")
+    with pytest.raises(TypeError):
+        Contract(vocab=("a", 5))
+    assert Contract(["a"], "b", ["c"]) == Contract(("a",), "b", ("c",))
+
+
+def test_columns_are_carried(spark):
+    df = spark.createDataFrame([(1, "{}", "x")], "`a.b` int, text string, `q``c` string")
+    out = annotate(df, json_col="text")
+    assert out.columns == ["a.b", "text", "q`c", "status", "problems", "valid"]
+    assert out.collect()[0][:3] == (1, "{}", "x")
+
+
+def test_clashing_columns_are_refused(spark):
+    with pytest.raises(ValueError, match="status"):
+        annotate(spark.createDataFrame([("{}", 1)], "v string, status int"))
+
+
+json_values = st.recursive(
+    st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False)
+    | st.text(st.characters(exclude_categories=["Cs"]), max_size=8) | st.sampled_from(DEFAULT.vocab),
+    lambda inner: st.lists(inner, max_size=3)
+    | st.dictionaries(st.sampled_from([*DEFAULT.required, "x", "Kind"]), inner, max_size=6),
+    max_leaves=8,
+)
+records = st.dictionaries(st.sampled_from([*DEFAULT.required, "x"]), json_values, max_size=6)
+whole = (json_values | records).map(lambda v: json.dumps(v, ensure_ascii=False)).filter(lambda t: "\x7f" not in t)
+
+
+@st.composite
+def damaged(draw):
+    text = draw(whole)
+    at = draw(st.integers(0, len(text)))
+    piece = draw(st.sampled_from([",", "]", "}", "[", "{", '"', " ", "\n", "\\", "x", "1", "],[", "{}", ",{}", "]]", "/**/", "'", ":", "\t", " "]))
+    return text[:at] + piece + text[at + draw(st.integers(0, 1)):]
+
+
+@settings(max_examples=12, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+@given(st.lists(whole | damaged(), min_size=200, max_size=300))
+def test_random_texts_agree_with_the_model(spark, texts):
+    assert list(zip(texts, verdicts(spark, texts))) == [(t, model(t)) for t in texts]
