@@ -30,7 +30,7 @@ def facts(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> D
     taken = set(df.columns) & {*_ADDED, *_FACTS, *_INTERIM}
     if taken:
         raise ValueError(f"the frame already has columns named {sorted(taken)}")
-    # Read when the expressions below are built, not when they run.
+    # Has to be set before the parse is built: the plan then carries it.
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
     carried = _carried(df)

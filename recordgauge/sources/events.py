@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
-from pyspark.sql.streaming import DataStreamReader
+from pyspark.sql import DataFrame, SparkSession
 
-LAYOUTS = ("lines", "document")
+# Options of Spark's text source. A line ends at a line feed only, as a carriage return is
+# white space to JSON.
+LAYOUTS = {"lines": {"lineSep": "\n"}, "document": {"wholetext": True}}
 
 
 def read_events(spark: SparkSession, path: str | list[str], layout: str = "lines") -> DataFrame:
     """``lines``: one record per line (JSON Lines). ``document``: one record per file.
 
     Partition directories come along as columns. Text stays text here: a JSON reader would not
-    tell a missing name from a null one. A line ends at a line feed only; a carriage return is
-    JSON white space. A file of lines is split between tasks, a document is read whole.
+    tell a missing name from a null one. A file of lines is divided among tasks, a document is
+    read whole.
     """
-    return _as_records(_configure(spark.read, layout).text(path))
+    return spark.read.text(path, **_options(layout)).withColumnRenamed("value", "v")
 
 
 def stream_events(
@@ -25,19 +26,13 @@ def stream_events(
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
     """The same for files as they arrive in a directory."""
-    reader = _configure(spark.readStream, layout)
+    reader = spark.readStream
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _as_records(reader.text(path))
+    return reader.text(path, **_options(layout)).withColumnRenamed("value", "v")
 
 
-def _configure(reader: DataFrameReader | DataStreamReader, layout: str):
+def _options(layout: str) -> dict:
     if layout not in LAYOUTS:
-        raise ValueError(f"layout must be one of {LAYOUTS}, got {layout!r}")
-    if layout == "document":
-        return reader.option("wholetext", True)
-    return reader.option("lineSep", "\n")
-
-
-def _as_records(df: DataFrame) -> DataFrame:
-    return df.withColumnRenamed("value", "v")
+        raise ValueError(f"layout must be one of {sorted(LAYOUTS)}, got {layout!r}")
+    return LAYOUTS[layout]

@@ -1,8 +1,7 @@
 import json
+import random
 
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 
 from recordgauge import DEFAULT, Contract, annotate
 from recordgauge.functions.strict_json import END_MARK
@@ -40,8 +39,7 @@ def test_truth_table(spark):
 
 def test_truth_table_agrees_with_the_model():
     for t in truth_table():
-        if t["case"] != "bom":  # str input to json.loads raises on it by itself
-            assert model(t["v"]) == (t["status"], t["problems"]), t["case"]
+        assert model(t["v"]) == (t["status"], t["problems"]), t["case"]
 
 
 def test_multi_line_sample_is_valid(spark):
@@ -186,26 +184,49 @@ def test_clashing_columns_are_refused(spark):
         annotate(spark.createDataFrame([("{}", 1)], "v string, status int"))
 
 
-json_values = st.recursive(
-    st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False)
-    | st.text(st.characters(exclude_categories=["Cs"]), max_size=8) | st.sampled_from(DEFAULT.vocab),
-    lambda inner: st.lists(inner, max_size=3)
-    | st.dictionaries(st.sampled_from([*DEFAULT.required, "x", "Kind"]), inner, max_size=6),
-    max_leaves=8,
-)
-records = st.dictionaries(st.sampled_from([*DEFAULT.required, "x"]), json_values, max_size=6)
-whole = (json_values | records).map(lambda v: json.dumps(v, ensure_ascii=False)).filter(lambda t: "\x7f" not in t)
-
-
-@st.composite
-def damaged(draw):
-    text = draw(whole)
-    at = draw(st.integers(0, len(text)))
-    piece = draw(st.sampled_from([",", "]", "}", "[", "{", '"', " ", "\n", "\\", "x", "1", "],[", "{}", ",{}", "]]", "/**/", "'", ":", "\t", " "]))
-    return text[:at] + piece + text[at + draw(st.integers(0, 1)):]
-
-
-@settings(max_examples=12, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
-@given(st.lists(whole | damaged(), min_size=200, max_size=300))
-def test_random_texts_agree_with_the_model(spark, texts):
-    assert list(zip(texts, verdicts(spark, texts))) == [(t, model(t)) for t in texts]
+NAMES = (*DEFAULT.required, "x", "Kind", "")
+WORDS = (*DEFAULT.vocab, "", "claim_replayed", "RELEASE_SIGNED ", "a\"b\\", "é中", "\u2028", END_MARK)
+PIECES = (",", "]", "}", "[", "{", '"', " ", "\n", "\\", "x", "1", "-", ".", "e", "0", ":", "'", "\t", "/**/", "],[",
+          "{}", ",{}", "]]", "}}", ',"kind":1', "\u00a0", "\ufeff", "\x0b", "\x00", "NaN", "null", END_MARK, "," + END_MARK)
+
+
+def random_value(rng, depth=0):
+    pick = rng.randrange(9 if depth < 3 else 6)
+    if pick == 0:
+        return rng.choice((None, True, False))
+    if pick == 1:
+        return rng.choice((0, -1, rng.randrange(10**20), int(END_MARK)))
+    if pick == 2:
+        return rng.choice((0.5, -1e-7, 1e300, rng.random()))
+    if pick < 6:
+        return rng.choice(WORDS)
+    if pick == 6:
+        return [random_value(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return random_record(rng, depth + 1)
+
+
+def random_record(rng, depth=0):
+    names = rng.sample(NAMES, rng.randrange(len(NAMES) + 1))
+    record = {n: random_value(rng, depth + 1) for n in names}
+    if "kind" in record and rng.random() < 0.7:
+        record["kind"] = rng.choice(DEFAULT.vocab)
+    return record
+
+
+def random_text(rng):
+    value = random_record(rng) if rng.random() < 0.7 else random_value(rng)
+    text = json.dumps(value, ensure_ascii=rng.random() < 0.5, indent=rng.choice((None, None, 1)))
+    for _ in range(rng.choice((0, 0, 1, 1, 2))):
+        at = rng.choice((0, len(text), rng.randrange(len(text) + 1)))
+        text = text[:at] + rng.choice(PIECES) + text[at + rng.randrange(2):]
+    return text
+
+
+def test_random_texts_agree_with_the_model(spark):
+    rng = random.Random(7)
+    texts = [random_text(rng) for _ in range(30_000)]
+    expected = [model(t) for t in texts]
+    assert min(sum(s == w for s, _ in expected) for w in ("checked", "not_object", "malformed")) > 1000
+    assert sum(p == [] for _, p in expected) > 500
+    wrong = [(t, e, v) for t, e, v in zip(texts, expected, verdicts(spark, texts)) if e != v]
+    assert not wrong, wrong[:5]
