@@ -23,6 +23,7 @@ from recordgauge import (
     quarantined,
     read_events,
     read_split,
+    spread,
     stream_events,
     tally,
     write_split,
@@ -46,7 +47,7 @@ CASE WHEN event_id % 7 = 0 THEN '{"event_id":' || CAST(event_id AS STRING) || ',
 """
 
 # Records for the default contract, from events: whole ones and each way to break the contract.
-SETTLEMENT_PARTS = {
+DEFAULT_PARTS = {
     "f_id": """'"event_id":"e-' || CAST(event_id AS STRING) || '"'""",
     "kind": """CASE event_type WHEN 'click' THEN 'CATALOG_FROZEN' WHEN 'purchase' THEN 'CLAIM_REPLAYED'
   WHEN 'signup' THEN 'DIFF_CLASSIFIED' WHEN 'view' THEN 'MAPPING_REVISED' ELSE 'RELEASE_SIGNED' END""",
@@ -54,7 +55,7 @@ SETTLEMENT_PARTS = {
     "f_subject": """'"subject_id":"u-' || CAST(user_id AS STRING) || '"'""",
     "f_payload": """'"payload":' || props""",
 }
-SETTLEMENT_RECORD = """
+DEFAULT_RECORD = """
 CASE event_id % 19
  WHEN 0 THEN '{' || f_id || ',' || f_at || ',' || f_subject || ',' || f_payload || '}'
  WHEN 1 THEN '{' || f_id || ',"kind":null,' || f_at || ',' || f_subject || ',' || f_payload || '}'
@@ -101,30 +102,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", F.expr(USAGE_RECORD).alias("v"))
+    return spread(_table(spark, sf_dir, "events")).select("event_id", F.expr(USAGE_RECORD).alias("v"))
 
 
-def _settlement_records(events: DataFrame) -> DataFrame:
-    parts = events.select("event_id", *(F.expr(e).alias(n) for n, e in SETTLEMENT_PARTS.items()))
-    return parts.select("event_id", F.expr(SETTLEMENT_RECORD).alias("v"))
+def _default_of(events: DataFrame) -> DataFrame:
+    parts = events.select("event_id", *(F.expr(e).alias(n) for n, e in DEFAULT_PARTS.items()))
+    return parts.select("event_id", F.expr(DEFAULT_RECORD).alias("v"))
 
 
-def _settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _settlement_records(_table(spark, sf_dir, "events"))
+def _default_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _default_of(spread(_table(spark, sf_dir, "events")))
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     # to_json leaves out a NULL field, so an unlabelled document has no "quality".
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
     return (
-        _table(spark, sf_dir, "documents")
+        spread(_table(spark, sf_dir, "documents"))
         .join(labels, "doc_id", "left")
         .select("doc_id", F.to_json(F.struct("doc_id", "lang", "source", "text", "quality")).alias("v"))
     )
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").select(
+    return spread(_table(spark, sf_dir, "conversations")).select(
         "conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("v")
     )
 
@@ -132,7 +133,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Free text, hardly ever JSON: everything has to come out as malformed, not as an error.
     def part(name: str, column: str) -> DataFrame:
-        return _table(spark, sf_dir, name).select(F.lit(name).alias("origin"), F.col(column).alias("v"))
+        return spread(_table(spark, sf_dir, name)).select(F.lit(name).alias("origin"), F.col(column).alias("v"))
 
     return (
         part("documents", "text")
@@ -151,20 +152,20 @@ def _shown(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(_settlement(spark, sf_dir), DEFAULT).select(
+    return facts(_default_records(spark, sf_dir), DEFAULT).select(
         "event_id",
         F.when(F.col("status") == "checked", F.array_join("_missing", ",")).alias("missing"),
     )
 
 
 def kind_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(_settlement(spark, sf_dir), DEFAULT).select(
+    return facts(_default_records(spark, sf_dir), DEFAULT).select(
         "event_id", F.when(F.col("status") == "checked", ~F.col("_word_known")).alias("bad_kind")
     )
 
 
 def annotate_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(annotate(_settlement(spark, sf_dir)), "event_id")
+    return _shown(annotate(_default_records(spark, sf_dir)), "event_id")
 
 
 def annotate_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,11 +177,11 @@ def annotate_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accepted(annotate(_settlement(spark, sf_dir))).select("event_id")
+    return accepted(annotate(_default_records(spark, sf_dir))).select("event_id")
 
 
 def quarantined_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(quarantined(annotate(_settlement(spark, sf_dir))), "event_id")
+    return _shown(quarantined(annotate(_default_records(spark, sf_dir))), "event_id")
 
 
 def accepted_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +193,7 @@ def quarantined_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate(annotate(_settlement(spark, sf_dir)))
+    return gate(annotate(_default_records(spark, sf_dir)))
 
 
 def gate_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +205,7 @@ def gate_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problem_report(annotate(_settlement(spark, sf_dir)))
+    return problem_report(annotate(_default_records(spark, sf_dir)))
 
 
 def report_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +218,7 @@ def report_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate's counts and the report's, both from one pass over the records."""
-    outcome = check(_settlement(spark, sf_dir))
+    outcome = check(_default_records(spark, sf_dir))
     counts = [c for c in outcome.gate.columns if c.startswith("n_")]
     gate_rows = outcome.gate.unpivot([], counts, "name", "n").select(F.lit("gate").alias("part"), "name", "n")
     report_rows = outcome.report.select(
@@ -236,7 +237,7 @@ def raw_text_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "split")
-    annotated = annotate(_settlement(spark, sf_dir))
+    annotated = annotate(_default_records(spark, sf_dir))
     write_split(annotated, path)
     kept = read_split(spark, path, annotated.schema)
     return (
@@ -256,7 +257,7 @@ def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "documents")
-    _table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(SUPPLIER_RECORD).alias("v")).write.partitionBy(
+    spread(_table(spark, sf_dir, "supplier")).select("s_suppkey", F.expr(SUPPLIER_RECORD).alias("v")).write.partitionBy(
         "s_suppkey"
     ).text(path)
     read = read_events(spark, path, "document")
@@ -268,7 +269,7 @@ def stream_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _table(spark, sf_dir, "events").schema
     # A pattern, since a stream source refuses the path of a single file.
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
-    return _shown(_drained(spark, annotate(_settlement_records(arriving))), "event_id")
+    return _shown(_drained(spark, annotate(_default_of(arriving))), "event_id")
 
 
 def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,9 +370,9 @@ _VERDICTS = f"SELECT count(*) AS n, {_SHOWN} FROM a GROUP BY ALL"
 
 
 def oracle_sql() -> dict[str, str]:
-    parts = ", ".join(f"{e} AS {n}" for n, e in SETTLEMENT_PARTS.items())
+    parts = ", ".join(f"{e} AS {n}" for n, e in DEFAULT_PARTS.items())
     default = _annotated_sql(
-        f"SELECT event_id, {SETTLEMENT_RECORD} AS v FROM (SELECT event_id, {parts} FROM events)",
+        f"SELECT event_id, {DEFAULT_RECORD} AS v FROM (SELECT event_id, {parts} FROM events)",
         DEFAULT,
         "event_id",
     )

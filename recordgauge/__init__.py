@@ -7,7 +7,7 @@ from recordgauge.operators.report import problem_report, report_of_tally
 from recordgauge.operators.split import accepted, quarantined, read_split, split, write_split
 from recordgauge.operators.tally import tally
 from recordgauge.plans.conformance import check, check_and_keep
-from recordgauge.sources.events import read_events, stream_events
+from recordgauge.sources.events import read_events, spread, stream_events
 from recordgauge.streaming.annotated import write_split_stream
 
 __all__ = [
@@ -27,6 +27,7 @@ __all__ = [
     "read_split",
     "report_of_tally",
     "split",
+    "spread",
     "stream_events",
     "tally",
     "write_split",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# The catalog-settlement event contract.
-SETTLEMENT_REQUIRED = ("event_id", "kind", "occurred_at", "subject_id", "payload")
-SETTLEMENT_KINDS = (
+# The default contract.
+DEFAULT_REQUIRED = ("event_id", "kind", "occurred_at", "subject_id", "payload")
+DEFAULT_VOCAB_FIELD = "kind"
+DEFAULT_VOCAB = (
     "CATALOG_FROZEN",
     "CLAIM_REPLAYED",
     "DIFF_CLASSIFIED",
@@ -24,9 +25,9 @@ class Contract:
     is meant for a schema-sized list, not for a dimension table.
     """
 
-    required: tuple[str, ...] = SETTLEMENT_REQUIRED
-    vocab_field: str = "kind"
-    vocab: tuple[str, ...] = SETTLEMENT_KINDS
+    required: tuple[str, ...] = DEFAULT_REQUIRED
+    vocab_field: str = DEFAULT_VOCAB_FIELD
+    vocab: tuple[str, ...] = DEFAULT_VOCAB
 
     def __post_init__(self) -> None:
         for part in ("required", "vocab"):

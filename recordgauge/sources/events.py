@@ -32,6 +32,17 @@ def stream_events(
     return reader.text(path, **_options(layout)).withColumnRenamed("value", "v")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the scan has fewer tasks than there are cores.
+
+    Parsing is bound by the processor, and a small or unsplittable file is one task. A scan
+    with enough tasks comes back as it is, so a large table is never shuffled. Meant for a
+    frame that has only been read; asking a joined frame for its partitions would run the join.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _options(layout: str) -> dict:
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {sorted(LAYOUTS)}, got {layout!r}")

@@ -9,12 +9,12 @@ from tests.truth import model, truth_table
 
 GOOD = {"event_id": "e", "kind": "CLAIM_REPLAYED", "occurred_at": "t", "subject_id": "s", "payload": {}}
 SAMPLE = """{
-  "event_id": "sample-1",
+  "event_id": "e-1",
   "kind": "CATALOG_FROZEN",
-  "occurred_at": "2026-01-02T09:00:00+08:00",
-  "subject_id": "subject-1",
+  "occurred_at": "2026-01-02T03:04:05-06:00",
+  "subject_id": "s-1",
   "payload": {
-    "note": "仅用于格式核对"
+    "text": "äöü 中文 😀"
   }
 }
 """

@@ -22,6 +22,7 @@ from recordgauge import (
     read_split,
     report_of_tally,
     split,
+    spread,
     stream_events,
     tally,
     write_split,
@@ -260,6 +261,19 @@ def test_bytes_that_are_not_utf8(spark, tmp_path):
     assert sorted((r.status, r.problems) for r in rows) == [("checked", []), ("checked", ["kind"])]
 
 
+def test_spread_deals_out_small_scans_only(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spread(spark.read.parquet(str(tmp_path / "one")))
+    assert one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert one.count() == 1000
+    spark.range(1000, numPartitions=20).write.parquet(str(tmp_path / "many"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        assert "Exchange" not in plan(spread(spark.read.parquet(str(tmp_path / "many"))))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_unknown_layout(spark, tmp_path):
     with pytest.raises(ValueError, match="layout"):
         read_events(spark, str(tmp_path), "csv")
