@@ -19,6 +19,7 @@ from recordgauge import (
     check,
     check_and_keep,
     gate,
+    missing_fields,
     problem_report,
     quarantined,
     read_events,
@@ -26,10 +27,10 @@ from recordgauge import (
     spread,
     stream_events,
     tally,
+    vocabulary_check,
     write_split,
     write_split_stream,
 )
-from recordgauge.operators.annotate import facts
 from recordgauge.plans.scratch import scratch_path
 
 # --- Inputs: one SQL expression each, the same text in Spark and in DuckDB ---------------
@@ -151,17 +152,14 @@ def _shown(df: DataFrame, *keys: str) -> DataFrame:
 # --- Queries -------------------------------------------------------------------------------
 
 
-def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(_default_records(spark, sf_dir), DEFAULT).select(
-        "event_id",
-        F.when(F.col("status") == "checked", F.array_join("_missing", ",")).alias("missing"),
+def missing_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing_fields(_default_records(spark, sf_dir)).select(
+        "event_id", F.array_join("missing", ",").alias("missing")
     )
 
 
-def kind_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(_default_records(spark, sf_dir), DEFAULT).select(
-        "event_id", F.when(F.col("status") == "checked", ~F.col("_word_known")).alias("bad_kind")
-    )
+def vocabulary_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary_check(_default_records(spark, sf_dir)).select("event_id", "unknown_word")
 
 
 def annotate_default(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,8 +300,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
-        missing_fields,
-        kind_check,
+        missing_default,
+        vocabulary_default,
         annotate_default,
         annotate_usage,
         annotate_articles,
@@ -406,8 +404,8 @@ def oracle_sql() -> dict[str, str]:
         "origin",
     )
     return {
-        "missing_fields": f"{default} SELECT event_id, array_to_string(missing, ',') AS missing FROM a",
-        "kind_check": f"{default} SELECT event_id, bad_word AS bad_kind FROM a",
+        "missing_default": f"{default} SELECT event_id, array_to_string(missing, ',') AS missing FROM a",
+        "vocabulary_default": f"{default} SELECT event_id, bad_word AS unknown_word FROM a",
         "annotate_default": f"{default} SELECT event_id, {_SHOWN} FROM a",
         "annotate_usage": f"{usage} SELECT event_id, {_SHOWN} FROM a",
         "annotate_articles": f"{articles} SELECT doc_id, {_SHOWN} FROM a",

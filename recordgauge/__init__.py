@@ -1,7 +1,7 @@
 """Contract checks for JSON event records on Spark DataFrames and streams."""
 
 from recordgauge.contract import DEFAULT, Contract
-from recordgauge.operators.annotate import annotate
+from recordgauge.operators.annotate import annotate, missing_fields, vocabulary_check
 from recordgauge.operators.gate import ContractViolation, assert_conforms, gate, gate_of_tally
 from recordgauge.operators.report import problem_report, report_of_tally
 from recordgauge.operators.split import accepted, quarantined, read_split, split, write_split
@@ -21,6 +21,7 @@ __all__ = [
     "check_and_keep",
     "gate",
     "gate_of_tally",
+    "missing_fields",
     "problem_report",
     "quarantined",
     "read_events",
@@ -30,6 +31,7 @@ __all__ = [
     "spread",
     "stream_events",
     "tally",
+    "vocabulary_check",
     "write_split",
     "write_split_stream",
 ]

@@ -12,7 +12,7 @@ CHECKED = "checked"
 NOT_OBJECT = "not_object"
 MALFORMED = "malformed"
 
-_ADDED = ("status", "problems", "valid")
+_ADDED = ("status", "missing", "unknown_word", "problems", "valid")
 _FACTS = ("_missing", "_word_known")
 _INTERIM = ("_document", "_second_test", "_names", "_word", "_one_value")
 
@@ -70,6 +70,21 @@ def facts(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> D
     )
 
 
+def missing_fields(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> DataFrame:
+    """Add ``status`` and ``missing``, the absent required names; NULL unless checked."""
+    return facts(df, contract, json_col).select(
+        *_carried(df), "status", F.when(_is_checked(), F.col("_missing")).alias("missing")
+    )
+
+
+def vocabulary_check(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> DataFrame:
+    """Add ``status`` and ``unknown_word``: whether the vocabulary field holds none of the
+    contract's words; NULL unless checked."""
+    return facts(df, contract, json_col).select(
+        *_carried(df), "status", F.when(_is_checked(), ~F.col("_word_known")).alias("unknown_word")
+    )
+
+
 def annotate(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> DataFrame:
     """Add ``status``, ``problems`` and ``valid``; works on batch and streaming frames.
 
@@ -77,7 +92,7 @@ def annotate(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -
     ``malformed`` (not one JSON value, or NULL). ``problems`` and ``valid`` are NULL unless
     the record was checked.
     """
-    checked = F.col("status") == CHECKED
+    checked = _is_checked()
     missing, word_known = F.col("_missing"), F.col("_word_known")
     return facts(df, contract, json_col).select(
         *_carried(df),
@@ -88,6 +103,10 @@ def annotate(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -
     )
 
 
+def _is_checked() -> Column:
+    return F.col("status") == CHECKED
+
+
 def _carried(df: DataFrame) -> list[Column]:
     # Quoted, as a name may hold a dot.
     return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]

@@ -25,8 +25,17 @@ def split(annotated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted(annotated), quarantined(annotated)
 
 
-def write_split(annotated: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write parquet under ``status=…/valid=…`` in one pass and without a shuffle."""
+def write_split(
+    annotated: DataFrame, path: str, mode: str = "errorifexists", even_files: bool = False
+) -> None:
+    """Write parquet under ``status=…/valid=…`` in one pass.
+
+    There is no shuffle: each task writes the sides it met, so a rare side comes in many small
+    files. ``even_files`` shuffles first and lets adaptive execution cut each side, the large
+    ones too, into files of ``spark.sql.adaptive.advisoryPartitionSizeInBytes``.
+    """
+    if even_files:
+        annotated = annotated.hint("rebalance", *SPLIT_BY)
     annotated.write.mode(mode).partitionBy(*SPLIT_BY).parquet(path)
 
 

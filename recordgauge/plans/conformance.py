@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from recordgauge.contract import DEFAULT, Contract
@@ -13,6 +12,7 @@ from recordgauge.operators.gate import gate_of_tally
 from recordgauge.operators.report import report_of_tally
 from recordgauge.operators.split import read_split, write_split
 from recordgauge.operators.tally import tally
+from recordgauge.plans.scratch import scratch_path
 
 
 @dataclass(frozen=True)
@@ -25,21 +25,25 @@ class Outcome:
 
 
 def _outcome(annotated: DataFrame) -> Outcome:
-    # A few rows, kept so that the second reader does not start the scan again. If their
-    # executor is lost, Spark recomputes them.
-    counts = tally(annotated).persist(StorageLevel.MEMORY_AND_DISK)
-    return Outcome(counts, gate_of_tally(counts), report_of_tally(counts))
+    # A few rows, but they stand for a pass over all records: written, so that neither the
+    # second reader nor a lost executor starts that pass again.
+    spark = annotated.sparkSession
+    path = scratch_path(spark, "tally")
+    counts = tally(annotated)
+    counts.write.parquet(path)
+    kept = spark.read.schema(counts.schema).parquet(path)
+    return Outcome(kept, gate_of_tally(kept), report_of_tally(kept))
 
 
 def check(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> Outcome:
-    """Gate and report without keeping the records. Unpersist ``tally`` when done."""
+    """Run through the records once, keep their verdict counts, and judge from those."""
     return _outcome(annotate(df, contract, json_col))
 
 
 def check_and_keep(
     df: DataFrame, path: str, contract: Contract = DEFAULT, json_col: str = "v"
 ) -> tuple[DataFrame, Outcome]:
-    """Write the parted records, then judge from the written verdict columns alone."""
+    """Write the parted records, then count and judge from the written verdict columns alone."""
     annotated = annotate(df, contract, json_col)
     write_split(annotated, path)
     kept = read_split(df.sparkSession, path, annotated.schema)

@@ -16,6 +16,7 @@ from recordgauge import (
     check_and_keep,
     gate,
     gate_of_tally,
+    missing_fields,
     problem_report,
     quarantined,
     read_events,
@@ -25,6 +26,7 @@ from recordgauge import (
     spread,
     stream_events,
     tally,
+    vocabulary_check,
     write_split,
     write_split_stream,
 )
@@ -121,6 +123,18 @@ def test_writing_shuffles_nothing(records):
     assert "Exchange" not in plan(annotate(records))
 
 
+def test_even_files(spark, tmp_path):
+    many = spark.range(0, 4000, numPartitions=20).select(F.when(F.col("id") % 3 == 0, GOOD).otherwise("{").alias("v"))
+    for even in (False, True):
+        write_split(annotate(many), str(tmp_path / str(even)), even_files=even)
+    files = {
+        even: len(read_split(spark, str(tmp_path / str(even))).inputFiles()) for even in (False, True)
+    }
+    assert files[False] == 40 and files[True] <= 4
+    assert accepted(read_split(spark, str(tmp_path / "True"))).count() == 1334
+    assert read_split(spark, str(tmp_path / "True")).count() == 4000
+
+
 def test_empty_split(spark, empty, tmp_path):
     path = str(tmp_path / "out")
     write_split(empty, path)
@@ -164,13 +178,20 @@ def test_tally_serves_both(records):
     counts = tally(annotate(records)).cache()
     assert tuple(gate_of_tally(counts).first()) == expected_gate()
     assert report_rows(report_of_tally(counts)) == expected_report()
+    counts.unpersist()
 
 
 def test_check(records):
     outcome = check(records)
     assert tuple(outcome.gate.first()) == expected_gate()
     assert report_rows(outcome.report) == expected_report()
-    outcome.tally.unpersist()
+    assert "[, v#" not in plan(outcome.gate) + plan(outcome.report)  # nothing is parsed again
+
+
+def test_check_of_nothing(spark):
+    outcome = check(spark.createDataFrame([], "v string"))
+    assert tuple(outcome.gate.first()) == (0, 0, 0, 0, 0, True)
+    assert outcome.report.collect() == []
 
 
 def test_check_and_keep(records, tmp_path):
@@ -190,6 +211,15 @@ def test_hot_verdict_is_counted_before_the_shuffle(spark):
     assert "partial_count" in plan(problem_report(annotate(hot)))
 
 
+def test_single_rules(records):
+    for t, r in zip(TABLE, missing_fields(records).collect()):
+        expected = None if t["problems"] is None else t["problems"][: -1 if t["problems"][-1:] == ["kind"] else None]
+        assert (r.status, r.missing) == (t["status"], expected), t["case"]
+    for t, r in zip(TABLE, vocabulary_check(records).collect()):
+        expected = None if t["problems"] is None else t["problems"][-1:] == ["kind"]
+        assert (r.status, r.unknown_word) == (t["status"], expected), t["case"]
+
+
 def test_assert_conforms(spark, records):
     assert_conforms(annotate(spark.createDataFrame([(GOOD,)], "v string")))
     with pytest.raises(ContractViolation, match=f"n_records={len(TABLE)}"):
