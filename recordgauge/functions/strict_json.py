@@ -34,13 +34,30 @@ _LONG_TOKENS = {
 
 
 def _parse(text: Column) -> Column:
-    # The second parse runs only for text the first one refuses.
-    return F.coalesce(F.try_parse_json(text), F.from_json(text, "variant", _LONG_TOKENS))
+    # The second parse runs only for text the first one refuses, and only if it is long enough
+    # to hold a token beyond the limits.
+    again = F.when(F.octet_length(text) > 1000, F.from_json(text, "variant", _LONG_TOKENS))
+    return F.coalesce(F.try_parse_json(text), again)
+
+
+def _may_be_json(text: Column) -> Column:
+    """False for text that its first and last characters show not to be JSON.
+
+    A refused text costs the parser an exception, many times the price of an accepted one. Cut
+    off records and free text, the usual reasons, are mostly recognised here without.
+    """
+    first = F.substring(text, 1, 1)
+    ends_in_space = text.endswith(" ") | text.endswith("\n") | text.endswith("\r") | text.endswith("\t")
+    return (
+        F.when(first == "{", text.endswith("}") | ends_in_space)
+        .when(first == "[", text.endswith("]") | ends_in_space)
+        .otherwise(first.isin(*'"-0123456789tfn \t\n\r'))
+    )
 
 
 def marked_document(text: Column) -> Column:
     """The text as first element of a variant array that ends in the mark, or NULL."""
-    return _parse(F.concat(F.lit("["), text, F.lit(f",{END_MARK}]")))
+    return F.when(_may_be_json(text), _parse(F.concat(F.lit("["), text, F.lit(f",{END_MARK}]"))))
 
 
 def spells_mark_within_value(text: Column) -> Column:

@@ -11,7 +11,7 @@ from recordgauge.operators.tally import tally
 def problem_report(annotated: DataFrame) -> DataFrame:
     """``problem, n_records, n_occurrences``; the two differ where a list names it twice."""
     # Counting equal lists first leaves a handful of rows to explode.
-    return report_of_tally(tally(annotated.filter(F.size("problems") > 0)))
+    return report_of_tally(tally(annotated.filter(~F.col("valid"))))
 
 
 def report_of_tally(tallied: DataFrame) -> DataFrame:

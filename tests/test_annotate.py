@@ -97,6 +97,20 @@ def test_long_tokens_are_json(spark):
     assert [v for v in verdicts(spark, texts)] == [("checked", [])] * 3 + [("malformed", None)]
 
 
+def test_white_space_around_records(spark):
+    spaces = (" ", "\t", "\n", "\r", " \n\r\t", "\u00a0", "\x0b", "\x0c", "\u2028", "")
+    bodies = (json.dumps(GOOD), "[1]", "5", "-5", "true", '"x"', "null", "{", "]", "tru", "-", "")
+    texts = [before + body + after for before in spaces for body in bodies for after in spaces]
+    assert verdicts(spark, texts) == [model(t) for t in texts]
+
+
+def test_every_first_and_last_character(spark):
+    characters = [chr(c) for c in range(1, 256)] + ["中", "\u2029", "😀", "\ufeff"]
+    texts = [c + t for c in characters for t in ("", "{}", "]", '"', "1", "rue")]
+    texts += [t + c for c in characters for t in ("{}", "[]", "{", "[", '"', "1", "tru", "nul")]
+    assert verdicts(spark, texts) == [model(t) for t in texts]
+
+
 def test_deep_text_neither_fails_nor_recurses(spark):
     def nested(n):
         return '{"a":[' * n + "]}" * n
