@@ -6,7 +6,9 @@ Every query reads whole tables. Where a record is built with faults, ``event_id`
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -324,7 +326,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         stream_annotate,
         stream_lines,
     )
-    return {query.__name__: query for query in listed}
+    found = {query.__name__: query for query in listed}
+    corpus, pipeline = _optional("recordgauge.llm.queries"), _optional("corpus_pipeline")
+    if corpus:
+        found |= corpus.queries()
+    if pipeline:
+        found["pipeline"] = pipeline.run
+    return found
+
+
+def _optional(name: str) -> ModuleType | None:
+    """A module of the corpus operators, or None if they are not installed.
+
+    Only the absence of these modules themselves is passed over, not an error inside them.
+    """
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as error:
+        if error.name in ("recordgauge.llm", name):
+            return None
+        raise
 
 
 # --- The same results in SQL ---------------------------------------------------------------
@@ -403,7 +424,7 @@ def oracle_sql() -> dict[str, str]:
         DEFAULT,
         "origin",
     )
-    return {
+    found = {
         "missing_default": f"{default} SELECT event_id, array_to_string(missing, ',') AS missing FROM a",
         "vocabulary_default": f"{default} SELECT event_id, bad_word AS unknown_word FROM a",
         "annotate_default": f"{default} SELECT event_id, {_SHOWN} FROM a",
@@ -433,3 +454,9 @@ FROM a GROUP BY origin, status""",
         "stream_annotate": f"{default} SELECT event_id, {_SHOWN} FROM a",
         "stream_lines": usage + _VERDICTS,
     }
+    corpus, pipeline = _optional("recordgauge.llm.queries"), _optional("corpus_pipeline")
+    if corpus:
+        found |= corpus.oracle_sql()
+    if pipeline and pipeline.ORACLE_SQL:
+        found["pipeline"] = pipeline.ORACLE_SQL
+    return found

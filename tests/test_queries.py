@@ -14,11 +14,18 @@ def con():
     return connect(SF_DIR)
 
 
-def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+def _of_records(name):
+    """Whether a query is the record check's and not one of the corpus operators'."""
+    return not name.startswith("op") and name != "pipeline"
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+def test_every_query_of_the_record_check_has_sql():
+    assert {n for n in registered.queries() if _of_records(n)} == {
+        n for n in registered.oracle_sql() if _of_records(n)
+    }
+
+
+@pytest.mark.parametrize("name", [n for n in registered.queries() if _of_records(n)])
 def test_query_equals_sql(spark, con, name):
     columns, rows = spark_result(registered.queries()[name](spark, SF_DIR))
     assert (columns, rows) == sql_result(con, registered.oracle_sql()[name])
