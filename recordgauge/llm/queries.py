@@ -6,19 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordgauge.llm import simhash_index
+from recordgauge.llm import pu_toxicity, secret_scan, simhash_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.digest(secret_scan.find_secrets(docs))
+
+
 def op10_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_index.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op10_simhash_index,)
+    listed = (op1_pu_toxicity, op9_secret_scan, op10_simhash_index)
     return {query.__name__: query for query in listed}
 
 
