@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordgauge.llm import pu_toxicity, secret_scan, simhash_index
+from recordgauge.llm import pu_toxicity, secret_scan, simhash_index, window_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_packing.digest(window_packing.pack(_table(spark, sf_dir, "documents")))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.digest(secret_scan.find_secrets(docs))
@@ -27,7 +31,7 @@ def op10_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_pu_toxicity, op9_secret_scan, op10_simhash_index)
+    listed = (op1_pu_toxicity, op3_window_packing, op9_secret_scan, op10_simhash_index)
     return {query.__name__: query for query in listed}
 
 
