@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordgauge.llm.columns import bucket, per_text, with_columns
+from recordgauge.plans.scratch import discard, staged
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
@@ -113,42 +114,51 @@ def train_one(
     return params[:-1], float(params[-1])
 
 
-def telling(
-    rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, width: int, s: Settings
-) -> np.ndarray:
-    """Which words are in significantly more, or fewer, of the positives than of the unlabelled."""
-    n_positive = int(positive.sum())
-    n_unlabelled = len(positive) - n_positive
-    in_positive = np.bincount(columns[positive[rows]], minlength=width)
-    in_unlabelled = np.bincount(columns, minlength=width) - in_positive
-    pooled = (in_positive + in_unlabelled + 1) / (len(positive) + 2)
-    error = np.sqrt(pooled * (1 - pooled) * (1 / n_positive + 1 / n_unlabelled))
-    deviation = (in_positive / n_positive - in_unlabelled / n_unlabelled) / error
-    return (np.abs(deviation) >= s.min_deviations) & (in_positive + in_unlabelled >= s.min_documents)
+def telling(sample: DataFrame, s: Settings) -> DataFrame:
+    """Words in significantly more, or fewer, of the sample's positives than of its unlabelled rows.
 
+    ``sample`` has ``positive``, ``unlabelled`` and ``words``; the counts are taken where the
+    rows are.
+    """
+    size = sample.agg(
+        F.count_if("positive").alias("p"), F.count_if("unlabelled").alias("u")
+    ).first()
+    if not size.p or not size.u:
+        return sample.select(F.explode("words").alias("word")).limit(0)
+    counts = (
+        sample.select("positive", "unlabelled", F.explode("words").alias("word"))
+        .groupBy("word")
+        .agg(F.count_if("positive").alias("p"), F.count_if("unlabelled").alias("u"))
+    )
+    p, u = F.col("p"), F.col("u")
+    pooled = (p + u + 1) / (size.p + size.u + 2)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / size.p + 1 / size.u))
+    deviation = F.abs(p / size.p - u / size.u) / error
+    return counts.where((deviation >= s.min_deviations) & (p + u >= s.min_documents)).select("word")
 
-def fit(words: list[np.ndarray], positive: np.ndarray, prior: float, s: Settings = Settings()) -> Model:
-    """The averaged classifiers over a sample: each row's word hashes, and which rows are positive."""
+
+def fit(
+    words: list[list[int]], positive: np.ndarray, hashes: list[int], prior: float, s: Settings = Settings()
+) -> Model:
+    """The averaged classifiers over a sample.
+
+    ``words`` has each row's words as places in ``hashes``, ``positive`` flags the rows.
+    """
     prior = float(np.clip(prior, 1e-3, 0.9))
-    if not len(words) or not positive.any() or positive.all():
+    if not hashes or not positive.any() or positive.all():
         return Model(float(np.log(prior / (1 - prior))))
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    every, columns = np.unique(np.concatenate(words), return_inverse=True)
-    rows = np.repeat(np.arange(len(words)), lengths)
-    kept = telling(rows, columns, positive, len(every), s)
-    place = np.cumsum(kept) - 1
-    rows, columns = rows[kept[columns]], place[columns[kept[columns]]]
-    every, width = every[kept], int(kept.sum())
+    rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    columns = np.fromiter((c for w in words for c in w), np.int64, len(rows))
     share = np.random.default_rng(s.seed).integers(0, s.classifiers, len(words))
-    total, bias = np.zeros(width), 0.0
+    total, bias = np.zeros(len(hashes)), 0.0
     for k in range(s.classifiers):
         member = positive | (share == k)
         number = np.cumsum(member) - 1
         inside = member[rows]
-        w, b = train_one(number[rows[inside]], columns[inside], positive[member], width, prior, s)
+        w, b = train_one(number[rows[inside]], columns[inside], positive[member], len(hashes), prior, s)
         total += w / s.classifiers
         bias += b / s.classifiers
-    return Model(bias, {int(h): float(w) for h, w in zip(every, total, strict=True) if abs(w) > 1e-6})
+    return Model(bias, dict(zip(hashes, total.tolist(), strict=True)))
 
 
 def _unit(column: str, salt: int) -> Column:
@@ -167,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     ).first()
     n, n_toxic = counts.n, counts.n_toxic or 0
     if not n or not n_toxic:
-        return fit([], np.zeros(0, bool), 1e-3, s)
+        return fit([], np.zeros(0, bool), [], 1e-3, s)
     confirmed = (
         known.where((F.col("toxic") == 1) & (_unit("doc_id", 1) < s.max_positive / n_toxic))
         .select("doc_id", F.lit(True).alias("confirmed"))
@@ -183,13 +193,21 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
         .where(F.col("confirmed").isNotNull() | drawn)
         .select(
             F.coalesce("confirmed", F.lit(False)).alias("positive"),
-            per_text(lambda t: [h - (1 << 31) for h in word_hashes(t)], "array<int>")("text").alias("words"),
+            drawn.alias("unlabelled"),
+            per_text(word_hashes, "array<long>")("text").alias("words"),
         )
     )
-    arrow = sample.toArrow().combine_chunks()
-    words = [np.asarray(w, dtype=np.int64) + (1 << 31) for w in arrow["words"].to_pylist()]
-    positive = np.asarray(arrow["positive"].to_pylist(), dtype=bool)
-    return fit(words, positive, n_toxic / n, s)
+    sample, path = staged(sample, "toxicity-sample")
+    hashes = sorted(r.word for r in telling(sample, s).collect())
+    place = {h: i for i, h in enumerate(hashes)}
+    shared = spark.sparkContext.broadcast(place)
+    told = per_text(lambda ws: [shared.value[w] for w in ws if w in shared.value], "array<int>")("words")
+    rows = sample.select("positive", "unlabelled", told.alias("words")).collect()
+    discard(spark, path)
+    # The unlabelled sample is drawn from all text, so a confirmed document may count in both.
+    listed = sorted([(True, r.words) for r in rows if r.positive] + [(False, r.words) for r in rows if r.unlabelled])
+    positive = np.array([p for p, _ in listed], dtype=bool)
+    return fit([w for _, w in listed], positive, hashes, n_toxic / n, s)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
