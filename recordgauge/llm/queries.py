@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordgauge.llm import pu_toxicity, secret_scan, simhash_index, window_packing
+from recordgauge.llm import (
+    pu_toxicity,
+    secret_scan,
+    simhash_index,
+    source_mixing,
+    window_packing,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +27,12 @@ def op3_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_packing.digest(window_packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixed(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept"
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.digest(secret_scan.find_secrets(docs))
@@ -31,7 +43,7 @@ def op10_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_pu_toxicity, op3_window_packing, op9_secret_scan, op10_simhash_index)
+    listed = (op1_pu_toxicity, op3_window_packing, op5_source_mixing, op9_secret_scan, op10_simhash_index)
     return {query.__name__: query for query in listed}
 
 

@@ -164,6 +164,11 @@ def masked(text: str | None, vocabulary: str | None = None, mask: str = "[SECRET
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``docs`` with secrets masked in its text; other columns and all rows stay."""
-    safe = per_text(lambda t: masked(t, vocabulary), "string")(F.col(text))
-    return docs.withColumn(text, safe)
+    """``docs`` with secrets masked in its text and ``n_chars``, if there, brought in line.
+
+    All rows and the other columns stay.
+    """
+    safe = docs.withColumn(text, per_text(lambda t: masked(t, vocabulary), "string")(F.col(text)))
+    if "n_chars" not in docs.columns:
+        return safe
+    return safe.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
