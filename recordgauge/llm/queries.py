@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordgauge.llm import (
     pu_toxicity,
+    quality_rules,
     secret_scan,
     simhash_index,
     source_mixing,
@@ -23,6 +24,11 @@ def op1_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.judge(docs).drop("text")
+
+
 def op3_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_packing.digest(window_packing.pack(_table(spark, sf_dir, "documents")))
 
@@ -43,9 +49,9 @@ def op10_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_pu_toxicity, op3_window_packing, op5_source_mixing, op9_secret_scan, op10_simhash_index)
+    listed = (op1_pu_toxicity, op2_quality_rules, op3_window_packing, op5_source_mixing, op9_secret_scan, op10_simhash_index)
     return {query.__name__: query for query in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": quality_rules.oracle_sql()}
