@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordgauge.llm import (
+    piece_language,
     pu_toxicity,
     quality_rules,
     secret_scan,
@@ -39,6 +40,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_language.judge(_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.digest(secret_scan.find_secrets(docs))
@@ -49,7 +54,7 @@ def op10_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_pu_toxicity, op2_quality_rules, op3_window_packing, op5_source_mixing, op9_secret_scan, op10_simhash_index)
+    listed = (op1_pu_toxicity, op2_quality_rules, op3_window_packing, op5_source_mixing, op8_piece_language, op9_secret_scan, op10_simhash_index)
     return {query.__name__: query for query in listed}
 
 
