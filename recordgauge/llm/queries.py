@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordgauge.llm import (
+    compression_quality,
     piece_language,
     pu_toxicity,
     quality_rules,
@@ -40,6 +41,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_language.judge(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_pu_toxicity, op2_quality_rules, op3_window_packing, op5_source_mixing, op8_piece_language, op9_secret_scan, op10_simhash_index)
+    listed = (op1_pu_toxicity, op2_quality_rules, op3_window_packing, op5_source_mixing, op6_compression_quality, op8_piece_language, op9_secret_scan, op10_simhash_index)
     return {query.__name__: query for query in listed}
 
 
