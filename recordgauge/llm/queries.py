@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordgauge.llm import (
     compression_quality,
+    page_blocks,
     piece_language,
     pu_toxicity,
     quality_rules,
@@ -45,6 +46,11 @@ def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_blocks.extract(pages).drop("html")
+
+
 def op8_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_language.judge(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +65,7 @@ def op10_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_pu_toxicity, op2_quality_rules, op3_window_packing, op5_source_mixing, op6_compression_quality, op8_piece_language, op9_secret_scan, op10_simhash_index)
+    listed = (op1_pu_toxicity, op2_quality_rules, op3_window_packing, op5_source_mixing, op6_compression_quality, op7_page_blocks, op8_piece_language, op9_secret_scan, op10_simhash_index)
     return {query.__name__: query for query in listed}
 
 
