@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordgauge.llm import (
     compression_quality,
+    nn_descent,
     page_blocks,
     piece_language,
     pu_toxicity,
@@ -36,6 +37,10 @@ def op3_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_packing.digest(window_packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(_table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mixed(_table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept"
@@ -65,7 +70,7 @@ def op10_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_pu_toxicity, op2_quality_rules, op3_window_packing, op5_source_mixing, op6_compression_quality, op7_page_blocks, op8_piece_language, op9_secret_scan, op10_simhash_index)
+    listed = (op1_pu_toxicity, op2_quality_rules, op3_window_packing, op4_nn_descent, op5_source_mixing, op6_compression_quality, op7_page_blocks, op8_piece_language, op9_secret_scan, op10_simhash_index)
     return {query.__name__: query for query in listed}
 
 
