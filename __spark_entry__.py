@@ -26,7 +26,6 @@ from recordgauge import (
     quarantined,
     read_events,
     read_split,
-    spread,
     stream_events,
     tally,
     vocabulary_check,
@@ -79,7 +78,7 @@ CASE event_id % 19
  ELSE '{' || f_id || ',"kind":"' || kind || '",' || f_at || ',' || f_subject || ',' || f_payload || '}' END
 """
 
-# One multi-line document per supplier.
+# Multi-line records, one per supplier.
 SUPPLIER_RECORD = """
 '{' || chr(10) || ' "event_id": "' || s_name || '",' || chr(10)
  || CASE s_nationkey % 6 WHEN 0 THEN ' "kind": "CATALOG_FROZEN",' WHEN 1 THEN ' "kind": "CLAIM_REPLAYED",'
@@ -90,6 +89,47 @@ SUPPLIER_RECORD = """
  || CASE WHEN s_suppkey % 10 = 3 THEN chr(10) || '{}' ELSE '' END
 """
 
+# The same as a file's content, one per nation.
+NATION_RECORD = """
+'{' || chr(10) || ' "event_id": "' || n_name || '",' || chr(10) || ' "kind": "'
+ || CASE n_regionkey WHEN 0 THEN 'CATALOG_FROZEN' WHEN 1 THEN 'CLAIM_REPLAYED' WHEN 2 THEN 'NATION_LISTED' ELSE 'RELEASE_SIGNED' END || '",' || chr(10)
+ || CASE WHEN n_nationkey % 4 = 1 THEN '' ELSE ' "subject_id": ' || CAST(n_nationkey AS STRING) || ',' || chr(10) END
+ || ' "occurred_at": null,' || chr(10) || ' "payload": {"note": "x"}' || chr(10) || '}' || chr(10)
+ || CASE WHEN n_nationkey % 10 = 3 THEN '{}' ELSE '' END
+"""
+
+# Every event as a record that keeps the default contract.
+CONFORMING_RECORD = """
+'{"event_id":' || CAST(event_id AS STRING) || ',"kind":"'
+ || CASE event_type WHEN 'click' THEN 'CATALOG_FROZEN' WHEN 'purchase' THEN 'CLAIM_REPLAYED' ELSE 'RELEASE_SIGNED' END
+ || '","occurred_at":"' || CAST(ts AS STRING) || '","subject_id":' || CAST(user_id AS STRING) || ',"payload":' || props || '}'
+"""
+
+# Valid records of which some are deeper, or have a longer name, than the parser takes, and some
+# have numbers longer than it takes at once.
+LIMIT_RECORD = """
+'{"event_id":1,"occurred_at":null,"subject_id":0,"kind":"RELEASE_SIGNED","payload":'
+ || CASE WHEN event_id % 500 = 0 THEN '{"' || repeat('n', 60000) || '":1}'
+  WHEN event_id % 50 = 1 THEN repeat('[', 1500) || repeat(']', 1500)
+  WHEN event_id % 50 = 2 THEN repeat('[', 400) || repeat(']', 400)
+  WHEN event_id % 50 = 3 THEN '-' || repeat('7', 2500) || '.' || repeat('0', 1200)
+  WHEN event_id % 50 = 4 THEN '0' || repeat('7', 2500)
+  ELSE props END || '}'
+"""
+
+# Records with a name twice, of which the last counts.
+REPEATED_RECORD = """
+'{"kind":"' || CASE event_id % 4 WHEN 0 THEN 'CATALOG_FROZEN' WHEN 1 THEN 'UNHEARD_OF' WHEN 2 THEN 'CLAIM_REPLAYED' ELSE 'NONE' END
+ || '","event_id":1,"event_id":2,"occurred_at":1,"subject_id":1,"payload":{"a":1,"a":2},"kind":"'
+ || CASE event_id % 4 WHEN 0 THEN 'CLAIM_REPLAYED' WHEN 1 THEN 'CATALOG_FROZEN' WHEN 2 THEN 'UNHEARD_OF' ELSE 'NOTHING' END
+ || CASE event_id % 5 WHEN 0 THEN '","n":' || repeat('1', 2000) || '}' ELSE '"}' END
+"""
+
+WIDE = Contract(required=tuple(f"field_{i}" for i in range(40)), vocab_field="field_7", vocab=("known",))
+WIDE_RECORD = "'{' || " + " || ".join(
+    f"""CASE WHEN event_id % {i + 2} = 1 THEN '' ELSE '"field_{i}":{'"known"' if i == 7 else i},' END""" for i in range(40)
+) + """ || '"last":0}'"""
+
 ARTICLE = Contract(
     required=("doc_id", "lang", "source", "text", "quality"),
     vocab_field="lang",
@@ -105,7 +145,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_table(spark, sf_dir, "events")).select("event_id", F.expr(USAGE_RECORD).alias("v"))
+    return _table(spark, sf_dir, "events").select("event_id", F.expr(USAGE_RECORD).alias("v"))
 
 
 def _default_of(events: DataFrame) -> DataFrame:
@@ -113,22 +153,26 @@ def _default_of(events: DataFrame) -> DataFrame:
     return parts.select("event_id", F.expr(DEFAULT_RECORD).alias("v"))
 
 
+def _of_events(spark: SparkSession, sf_dir: str, record: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", F.expr(record).alias("v"))
+
+
 def _default_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _default_of(spread(_table(spark, sf_dir, "events")))
+    return _default_of(_table(spark, sf_dir, "events"))
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     # to_json leaves out a NULL field, so an unlabelled document has no "quality".
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
     return (
-        spread(_table(spark, sf_dir, "documents"))
+        _table(spark, sf_dir, "documents")
         .join(labels, "doc_id", "left")
         .select("doc_id", F.to_json(F.struct("doc_id", "lang", "source", "text", "quality")).alias("v"))
     )
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_table(spark, sf_dir, "conversations")).select(
+    return _table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("v")
     )
 
@@ -136,7 +180,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Free text, hardly ever JSON: everything has to come out as malformed, not as an error.
     def part(name: str, column: str) -> DataFrame:
-        return spread(_table(spark, sf_dir, name)).select(F.lit(name).alias("origin"), F.col(column).alias("v"))
+        return _table(spark, sf_dir, name).select(F.lit(name).alias("origin"), F.col(column).alias("v"))
 
     return (
         part("documents", "text")
@@ -209,11 +253,11 @@ def report_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problem_report(annotate(_usage(spark, sf_dir), USAGE))
+    return problem_report(annotate(_usage(spark, sf_dir), USAGE), USAGE)
 
 
 def report_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problem_report(annotate(_articles(spark, sf_dir), ARTICLE))
+    return problem_report(annotate(_articles(spark, sf_dir), ARTICLE), ARTICLE)
 
 
 def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,12 +300,38 @@ def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per nation: the table has 25 rows at every scale."""
     path = scratch_path(spark, "documents")
-    spread(_table(spark, sf_dir, "supplier")).select("s_suppkey", F.expr(SUPPLIER_RECORD).alias("v")).write.partitionBy(
-        "s_suppkey"
-    ).text(path)
+    records = _table(spark, sf_dir, "nation").select("n_nationkey", F.expr(NATION_RECORD).alias("v"))
+    records.write.partitionBy("n_nationkey").text(path)
     read = read_events(spark, path, "document")
-    return _shown(annotate(read), "s_suppkey").withColumn("s_suppkey", F.col("s_suppkey").cast("bigint"))
+    return _shown(annotate(read), "n_nationkey").withColumn("n_nationkey", F.col("n_nationkey").cast("bigint"))
+
+
+def annotate_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(SUPPLIER_RECORD).alias("v"))
+    return _shown(annotate(records), "s_suppkey")
+
+
+def annotate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(annotate(_of_events(spark, sf_dir, LIMIT_RECORD)), "event_id")
+
+
+def annotate_repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(annotate(_of_events(spark, sf_dir, REPEATED_RECORD)), "event_id")
+
+
+def gate_conforming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate(annotate(_of_events(spark, sf_dir, CONFORMING_RECORD)))
+
+
+def gate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate(annotate(_of_events(spark, sf_dir, LIMIT_RECORD)))
+
+
+def report_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that each lack other names of a contract of forty."""
+    return problem_report(annotate(_of_events(spark, sf_dir, WIDE_RECORD), WIDE), WIDE)
 
 
 def stream_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,6 +389,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         report_articles,
         check_summary,
         raw_text_status,
+        annotate_suppliers,
+        annotate_limits,
+        annotate_repeated_names,
+        gate_conforming,
+        gate_limits,
+        report_wide,
         split_written,
         gate_written,
         read_lines,
@@ -378,6 +454,7 @@ _SHOWN = "status, array_to_string(problems, ',') AS problems, valid"
 _GATE = """
 SELECT count(*) AS n_records, count(*) FILTER (WHERE valid) AS n_valid, count(*) FILTER (WHERE NOT valid) AS n_invalid,
  count(*) FILTER (WHERE status = 'not_object') AS n_not_object, count(*) FILTER (WHERE status = 'malformed') AS n_malformed,
+ count(*) FILTER (WHERE status = 'over_limit') AS n_over_limit,
  count(*) FILTER (WHERE valid) = count(*) AS conforms FROM a
 """
 _OCCURRENCES = """
@@ -410,6 +487,15 @@ def oracle_sql() -> dict[str, str]:
         "conv_id, turn",
     )
     suppliers = _annotated_sql(f"SELECT s_suppkey, {SUPPLIER_RECORD} AS v FROM supplier", DEFAULT, "s_suppkey")
+    nations = _annotated_sql(
+        f"SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, {NATION_RECORD} AS v FROM nation", DEFAULT, "n_nationkey"
+    )
+    # From how the rows are built: DuckDB has other limits and keeps the first of equal names.
+    limits = """WITH a AS (SELECT *, CASE WHEN status = 'checked' THEN [] END AS problems,
+  CASE WHEN status = 'checked' THEN true END AS valid FROM (SELECT event_id, CASE WHEN event_id % 500 = 0
+  OR event_id % 50 = 1 THEN 'over_limit' WHEN event_id % 50 = 4 THEN 'malformed' ELSE 'checked' END AS status FROM events))"""
+    repeated = """WITH a AS (SELECT event_id, 'checked' AS status, CASE WHEN event_id % 4 < 2 THEN [] ELSE ['kind'] END AS problems,
+  event_id % 4 < 2 AS valid FROM events)"""
     texts = _annotated_sql(
         " UNION ALL ".join(
             f"SELECT '{name}' AS origin, {column} AS v FROM {name}"
@@ -443,14 +529,23 @@ def oracle_sql() -> dict[str, str]:
         "check_summary": f"""{default} {_OCCURRENCES}, p AS ({_REPORT}), g AS ({_GATE})
 SELECT 'report' AS part, problem AS name, n_records AS n FROM p
 UNION ALL SELECT 'gate' AS part, name, n FROM
- (UNPIVOT g ON n_records, n_valid, n_invalid, n_not_object, n_malformed INTO NAME name VALUE n)""",
+ (UNPIVOT g ON n_records, n_valid, n_invalid, n_not_object, n_malformed, n_over_limit INTO NAME name VALUE n)""",
         "raw_text_status": f"""{texts} SELECT origin, status, count(*) AS n, CAST(sum(length(v)) AS BIGINT) AS n_chars
 FROM a GROUP BY origin, status""",
         "split_written": f"""{default} SELECT event_id, {_SHOWN},
  CASE WHEN valid THEN 'accepted' ELSE 'quarantined' END AS side FROM a""",
         "gate_written": usage + _GATE,
         "read_lines": usage + _VERDICTS,
-        "read_documents": f"{suppliers} SELECT s_suppkey, {_SHOWN} FROM a",
+        "read_documents": f"{nations} SELECT n_nationkey, {_SHOWN} FROM a",
+        "annotate_suppliers": f"{suppliers} SELECT s_suppkey, {_SHOWN} FROM a",
+        "annotate_limits": f"{limits} SELECT event_id, {_SHOWN} FROM a",
+        "annotate_repeated_names": f"{repeated} SELECT event_id, {_SHOWN} FROM a",
+        "gate_conforming": _annotated_sql(f"SELECT event_id, {CONFORMING_RECORD} AS v FROM events", DEFAULT, "event_id")
+        + _GATE,
+        "gate_limits": limits + _GATE,
+        "report_wide": _annotated_sql(f"SELECT event_id, {WIDE_RECORD} AS v FROM events", WIDE, "event_id")
+        + _OCCURRENCES
+        + _REPORT,
         "stream_annotate": f"{default} SELECT event_id, {_SHOWN} FROM a",
         "stream_lines": usage + _VERDICTS,
     }

@@ -2,10 +2,10 @@
 
 from recordgauge.contract import DEFAULT, Contract
 from recordgauge.operators.annotate import annotate, missing_fields, vocabulary_check
-from recordgauge.operators.gate import ContractViolation, assert_conforms, gate, gate_of_tally
-from recordgauge.operators.report import problem_report, report_of_tally
+from recordgauge.operators.gate import ContractViolation, assert_conforms, gate
+from recordgauge.operators.report import problem_report
 from recordgauge.operators.split import accepted, quarantined, read_split, split, write_split
-from recordgauge.operators.tally import tally
+from recordgauge.operators.tally import counters, tally
 from recordgauge.plans.conformance import check, check_and_keep
 from recordgauge.sources.events import read_events, spread, stream_events
 from recordgauge.streaming.annotated import write_split_stream
@@ -19,14 +19,13 @@ __all__ = [
     "assert_conforms",
     "check",
     "check_and_keep",
+    "counters",
     "gate",
-    "gate_of_tally",
     "missing_fields",
     "problem_report",
     "quarantined",
     "read_events",
     "read_split",
-    "report_of_tally",
     "split",
     "spread",
     "stream_events",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+from recordgauge.functions.strict_json import MAX_DIGITS
+
 # The default contract.
 DEFAULT_REQUIRED = ("event_id", "kind", "occurred_at", "subject_id", "payload")
 DEFAULT_VOCAB_FIELD = "kind"
@@ -38,6 +41,8 @@ class Contract:
         for text in (*self.required, self.vocab_field, *self.vocab):
             if not isinstance(text, str):
                 raise TypeError(f"a contract holds strings only, got {text!r}")
+            if re.search(f"[0-9]{{{MAX_DIGITS}}}", text):
+                raise ValueError(f"a contract holds no run of {MAX_DIGITS} digits")
         if len(set(self.required)) < len(self.required):
             raise ValueError("required names must be distinct")
         if not self.vocab_field or "'" in self.vocab_field:

@@ -22,22 +22,34 @@ from pyspark.sql import functions as F
 # 2**53 + 1.
 END_MARK = "9007199254740993"
 
-# try_parse_json has fixed limits on the length of one number (1,000 digits) and one string
-# (20 million characters); from_json takes them as options. The depth limit (1,000 levels)
-# stays: the variant builder recurses, and deeper text would end the executor.
-_LONG_TOKENS = {
-    "maxNumLen": "2147483647",
-    "maxStringLen": "2147483647",
-    "allowSingleQuotes": "false",
-    "allowNonNumericNumbers": "false",
-}
+# The parser takes numbers of up to 1,000 characters. A longer run of digits is cut to this many
+# before it is parsed: whole part, fraction and exponent then stay below the limit together, a
+# number stays one and a leading zero stays wrong. No name or word of a contract has such a run.
+MAX_DIGITS = 300
+# Beyond these the parser refuses text that may be JSON: 1,000 levels, names of 50,000
+# characters. Its limits on strings (20 million) and whole values (128 MiB) are far above.
+MAX_LEVELS = 1_000
+MAX_NAME = 50_000
 
 
 def _parse(text: Column) -> Column:
-    # The second parse runs only for text the first one refuses, and only if it is long enough
-    # to hold a token beyond the limits.
-    again = F.when(F.octet_length(text) > 1000, F.from_json(text, "variant", _LONG_TOKENS))
-    return F.coalesce(F.try_parse_json(text), again)
+    run = f"([0-9]{{{MAX_DIGITS}}})[0-9]+"
+    # A shorter text cannot hold such a run, and is not searched.
+    long_run = (F.octet_length(text) > MAX_DIGITS) & text.rlike(run)
+    return F.try_parse_json(F.when(long_run, F.regexp_replace(text, run, "$1")).otherwise(text))
+
+
+def may_exceed_limits(text: Column) -> Column:
+    """Whether a refused text may be JSON that the parser has limits against.
+
+    Only objects and arrays have levels and names. A text this long that is not JSON cannot be
+    told from one that is, without a parser, so both are reported alike.
+    """
+    space = F.lit(" \t\n\r")
+    opens = F.ltrim(text, space).startswith("{") & F.rtrim(text, space).endswith("}")
+    opens = opens | (F.ltrim(text, space).startswith("[") & F.rtrim(text, space).endswith("]"))
+    levels = F.length(text) - F.length(F.translate(text, "[{", ""))
+    return F.coalesce(opens & ((F.octet_length(text) > MAX_NAME) | (levels > MAX_LEVELS)), F.lit(False))
 
 
 def _may_be_json(text: Column) -> Column:

@@ -11,6 +11,7 @@ from recordgauge.functions import rules, strict_json
 CHECKED = "checked"
 NOT_OBJECT = "not_object"
 MALFORMED = "malformed"
+OVER_LIMIT = "over_limit"
 
 _ADDED = ("status", "missing", "unknown_word", "problems", "valid")
 _FACTS = ("_missing", "_word_known")
@@ -25,21 +26,19 @@ def facts(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> D
     projection's expressions in them, here the parse, but it moves none below a generator.
 
     Sets ``spark.sql.variant.allowDuplicateKeys`` in the session, so that of two equal names
-    the last one counts.
+    the last one counts; the plan keeps that whatever the setting is later.
     """
-    taken = set(df.columns) & {*_ADDED, *_FACTS, *_INTERIM}
-    if taken:
-        raise ValueError(f"the frame already has columns named {sorted(taken)}")
+    _refuse_taken_names(df)
     # Has to be set before the parse is built: the plan then carries it.
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
     carried = _carried(df)
-    text = F.col(json_col)
+    text = F.col(_quoted(json_col)) if json_col in df.columns else F.col(json_col)
     document, second_test = F.col("_document"), F.col("_second_test")
     names, word, one_value = F.col("_names"), F.col("_word"), F.col("_one_value")
 
     status = (
-        F.when(~one_value, MALFORMED)
+        F.when(~one_value, F.when(strict_json.may_exceed_limits(text), OVER_LIMIT).otherwise(MALFORMED))
         .when(names.isNotNull() | strict_json.opens_array(text), CHECKED)
         .otherwise(NOT_OBJECT)
     )
@@ -88,9 +87,10 @@ def vocabulary_check(df: DataFrame, contract: Contract = DEFAULT, json_col: str
 def annotate(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> DataFrame:
     """Add ``status``, ``problems`` and ``valid``; works on batch and streaming frames.
 
-    ``status`` is ``checked``, ``not_object`` (JSON, but neither object nor array) or
-    ``malformed`` (not one JSON value, or NULL). ``problems`` and ``valid`` are NULL unless
-    the record was checked.
+    ``status`` is ``checked``, ``not_object`` (JSON, but neither object nor array),
+    ``malformed`` (not one JSON value, or NULL) or ``over_limit`` (refused, but so deep or so
+    long that it may be one beyond the parser's limits). ``problems`` and ``valid`` are NULL
+    unless the record was checked.
     """
     checked = _is_checked()
     missing, word_known = F.col("_missing"), F.col("_word_known")
@@ -108,5 +108,19 @@ def _is_checked() -> Column:
 
 
 def _carried(df: DataFrame) -> list[Column]:
-    # Quoted, as a name may hold a dot.
-    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+    return [F.col(_quoted(name)) for name in df.columns]
+
+
+def _quoted(name: str) -> str:
+    # A name may hold a dot.
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _refuse_taken_names(df: DataFrame) -> None:
+    """Names are compared as the session's resolver does, with or without case."""
+    sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    fold = str if sensitive else str.lower
+    own = {fold(n) for n in (*_ADDED, *_FACTS, *_INTERIM)}
+    taken = sorted(n for n in df.columns if fold(n) in own)
+    if taken:
+        raise ValueError(f"the frame already has columns named {taken}")

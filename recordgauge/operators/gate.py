@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordgauge.operators.annotate import MALFORMED, NOT_OBJECT
+from recordgauge.operators.tally import GATE_COUNTS, gate_counters
 
 
 class ContractViolation(AssertionError):
@@ -13,29 +13,16 @@ class ContractViolation(AssertionError):
 
 
 def gate(annotated: DataFrame) -> DataFrame:
-    """``n_records, n_valid, n_invalid, n_not_object, n_malformed, conforms``.
+    """``n_records, n_valid, n_invalid, n_not_object, n_malformed, n_over_limit, conforms``.
 
     No grouping: each task sends one row of counts. An empty batch conforms with 0 records.
     """
-    return _gate(annotated, F.lit(1))
+    return gate_row(annotated.agg(*gate_counters()))
 
 
-def gate_of_tally(tallied: DataFrame) -> DataFrame:
-    """The same row from a tally."""
-    return _gate(tallied, F.col("n"))
-
-
-def _gate(df: DataFrame, weight: Column) -> DataFrame:
-    def records(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, weight)), F.lit(0)).cast("bigint")
-
-    return df.agg(
-        records(F.lit(True)).alias("n_records"),
-        records(F.col("valid")).alias("n_valid"),
-        records(~F.col("valid")).alias("n_invalid"),
-        records(F.col("status") == NOT_OBJECT).alias("n_not_object"),
-        records(F.col("status") == MALFORMED).alias("n_malformed"),
-    ).select("*", (F.col("n_valid") == F.col("n_records")).alias("conforms"))
+def gate_row(counted: DataFrame) -> DataFrame:
+    """The same from a row of counters."""
+    return counted.select(*GATE_COUNTS, (F.col("n_valid") == F.col("n_records")).alias("conforms"))
 
 
 def assert_conforms(annotated: DataFrame) -> None:

@@ -3,25 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from recordgauge.operators.tally import tally
+from recordgauge.contract import DEFAULT, Contract
+from recordgauge.operators.tally import problem_counters, report_rows
 
 
-def problem_report(annotated: DataFrame) -> DataFrame:
-    """``problem, n_records, n_occurrences``; the two differ where a list names it twice."""
-    # Counting equal lists first leaves a handful of rows to explode.
-    return report_of_tally(tally(annotated.filter(~F.col("valid"))))
+def problem_report(annotated: DataFrame, contract: Contract = DEFAULT) -> DataFrame:
+    """``problem, n_records, n_occurrences``; the two differ where a list names it twice.
 
-
-def report_of_tally(tallied: DataFrame) -> DataFrame:
-    """The same rows from a tally."""
-    first_of_its_name = F.col("at") + 1 == F.array_position("problems", F.col("problem"))
-    return (
-        tallied.select("n", "problems", F.posexplode("problems").alias("at", "problem"))
-        .groupBy("problem")
-        .agg(
-            F.coalesce(F.sum(F.when(first_of_its_name, F.col("n"))), F.lit(0)).alias("n_records"),
-            F.sum("n").alias("n_occurrences"),
-        )
-    )
+    ``contract`` is the one the records were annotated with. The report is a fixed number of
+    counters over all records, so each task sends one row however the problems combine.
+    """
+    return report_rows(annotated.agg(*problem_counters(contract)), contract)

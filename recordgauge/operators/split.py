@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SPLIT_BY = ("status", "valid")
+STREAM_BATCH = "stream_batch"
 
 
 def accepted(annotated: DataFrame) -> DataFrame:
@@ -32,13 +33,21 @@ def write_split(
 
     There is no shuffle: each task writes the sides it met, so a rare side comes in many small
     files. ``even_files`` shuffles first and lets adaptive execution cut each side, the large
-    ones too, into files of ``spark.sql.adaptive.advisoryPartitionSizeInBytes``.
+    ones too, into files of ``spark.sql.adaptive.advisoryPartitionSizeInBytes``; without
+    adaptive execution each side would be one task, so that is refused.
     """
     if even_files:
-        annotated = annotated.hint("rebalance", *SPLIT_BY)
+        annotated = evened(annotated)
     annotated.write.mode(mode).partitionBy(*SPLIT_BY).parquet(path)
 
 
+def evened(annotated: DataFrame) -> DataFrame:
+    """The records shuffled into partitions of even size, each of one side."""
+    if annotated.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
+        raise ValueError("even_files needs spark.sql.adaptive.enabled")
+    return annotated.hint("rebalance", *SPLIT_BY)
+
+
 def read_split(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """Read what ``write_split`` or ``write_split_stream`` wrote.
 
@@ -47,4 +56,10 @@ def read_split(spark: SparkSession, path: str, schema: StructType | str | None =
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     df = reader.parquet(path)
+    if STREAM_BATCH in df.columns and (schema is None or STREAM_BATCH not in _names(schema)):
+        df = df.drop(STREAM_BATCH)
     return df if schema is not None else df.withColumn("valid", F.col("valid").cast("boolean"))
+
+
+def _names(schema: StructType | str) -> list[str]:
+    return (StructType.fromDDL(schema) if isinstance(schema, str) else schema).names

@@ -1,15 +1,77 @@
-"""Count records per verdict: all that the gate and the report need."""
+"""Counts over annotated records."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordgauge.contract import DEFAULT, Contract
+from recordgauge.operators.annotate import MALFORMED, NOT_OBJECT, OVER_LIMIT
+
+GATE_COUNTS = ("n_records", "n_valid", "n_invalid", "n_not_object", "n_malformed", "n_over_limit")
+
 
 def tally(annotated: DataFrame) -> DataFrame:
     """``status, valid, problems, n``: one row per distinct verdict.
 
-    The number of rows depends on the contract, not on the data. Tasks count before the
-    shuffle, so a verdict shared by most records reaches it as one row per task.
+    For narrow contracts: with many required names there can be nearly as many verdicts as
+    records, and then nothing is counted together before the shuffle. Gate and report do not
+    use it.
     """
     return annotated.groupBy("status", "valid", "problems").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gate_counters() -> list[Column]:
+    """The gate's counts as aggregates."""
+    status = F.col("status")
+    conditions = (
+        F.lit(True),
+        F.col("valid"),
+        ~F.col("valid"),
+        status == NOT_OBJECT,
+        status == MALFORMED,
+        status == OVER_LIMIT,
+    )
+    return [F.count_if(c).alias(name) for name, c in zip(GATE_COUNTS, conditions, strict=True)]
+
+
+def problem_counters(contract: Contract) -> list[Column]:
+    """Two aggregates per problem the contract knows: records with it, and occurrences.
+
+    Only the vocabulary field can be listed twice, and then comes last both as a missing name
+    and as an unknown word.
+    """
+    problems = F.col("problems")
+    columns = []
+    for i, name in enumerate(_problems(contract)):
+        found = F.array_contains(problems, name)
+        twice = F.lit(0)
+        if name == contract.vocab_field:
+            twice = F.when(F.array_position(problems, name) < F.size(problems), 1).otherwise(0)
+        columns.append(F.count_if(found).alias(f"records_{i}"))
+        columns.append(F.coalesce(F.sum(F.when(found, 1 + twice)), F.lit(0)).alias(f"occurrences_{i}"))
+    return columns
+
+
+def counters(annotated: DataFrame, contract: Contract = DEFAULT) -> DataFrame:
+    """One row with all that the gate and the report need; each task sends one row."""
+    return annotated.agg(*gate_counters(), *problem_counters(contract))
+
+
+def report_rows(counted: DataFrame, contract: Contract) -> DataFrame:
+    """``problem, n_records, n_occurrences`` from the one row, without what never occurred."""
+    rows = F.array(
+        *(
+            F.struct(
+                F.lit(name).alias("problem"),
+                F.col(f"records_{i}").cast("bigint").alias("n_records"),
+                F.col(f"occurrences_{i}").cast("bigint").alias("n_occurrences"),
+            )
+            for i, name in enumerate(_problems(contract))
+        )
+    )
+    return counted.select(F.inline(rows)).where("n_records > 0")
+
+
+def _problems(contract: Contract) -> tuple[str, ...]:
+    return tuple(dict.fromkeys((*contract.required, contract.vocab_field)))

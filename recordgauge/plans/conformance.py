@@ -8,36 +8,31 @@ from pyspark.sql import DataFrame
 
 from recordgauge.contract import DEFAULT, Contract
 from recordgauge.operators.annotate import annotate
-from recordgauge.operators.gate import gate_of_tally
-from recordgauge.operators.report import report_of_tally
+from recordgauge.operators.gate import gate_row
 from recordgauge.operators.split import read_split, write_split
-from recordgauge.operators.tally import tally
-from recordgauge.plans.scratch import scratch_path
+from recordgauge.operators.tally import counters, report_rows
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """Gate and report of one check, and the verdict counts both are made from."""
+    """Gate and report of one check, and the row of counters both are made from."""
 
-    tally: DataFrame
+    counts: DataFrame
     gate: DataFrame
     report: DataFrame
 
 
-def _outcome(annotated: DataFrame) -> Outcome:
-    # A few rows, but they stand for a pass over all records: written, so that neither the
-    # second reader nor a lost executor starts that pass again.
-    spark = annotated.sparkSession
-    path = scratch_path(spark, "tally")
-    counts = tally(annotated)
-    counts.write.parquet(path)
-    kept = spark.read.schema(counts.schema).parquet(path)
-    return Outcome(kept, gate_of_tally(kept), report_of_tally(kept))
+def _outcome(annotated: DataFrame, contract: Contract) -> Outcome:
+    # One row whose width is the contract's: fetched, so that it takes one pass over the
+    # records and nothing is left behind.
+    counted = counters(annotated, contract)
+    kept = annotated.sparkSession.createDataFrame([tuple(counted.first())], counted.schema)
+    return Outcome(kept, gate_row(kept), report_rows(kept, contract))
 
 
 def check(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> Outcome:
-    """Run through the records once, keep their verdict counts, and judge from those."""
-    return _outcome(annotate(df, contract, json_col))
+    """Run through the records once, count, and judge from the counts."""
+    return _outcome(annotate(df, contract, json_col), contract)
 
 
 def check_and_keep(
@@ -47,4 +42,4 @@ def check_and_keep(
     annotated = annotate(df, contract, json_col)
     write_split(annotated, path)
     kept = read_split(df.sparkSession, path, annotated.schema)
-    return kept, _outcome(kept)
+    return kept, _outcome(kept, contract)

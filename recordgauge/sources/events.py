@@ -32,15 +32,13 @@ def stream_events(
     return reader.text(path, **_options(layout)).withColumnRenamed("value", "v")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the scan has fewer tasks than there are cores.
+def spread(df: DataFrame, tasks: int) -> DataFrame:
+    """Deal rows out to ``tasks`` tasks.
 
-    Parsing is bound by the processor, and a small or unsplittable file is one task. A scan
-    with enough tasks comes back as it is, so a large table is never shuffled. Meant for a
-    frame that has only been read; asking a joined frame for its partitions would run the join.
+    A full shuffle of the rows. It pays for an input that cannot be divided, such as one long
+    compressed file; others are divided by ``spark.sql.files.maxPartitionBytes`` without.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(tasks)
 
 
 def _options(layout: str) -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from recordgauge.operators.split import SPLIT_BY
+from recordgauge.operators.split import SPLIT_BY, STREAM_BATCH, evened
 
 
 def write_split_stream(
@@ -14,21 +14,23 @@ def write_split_stream(
     checkpoint: str,
     available_now: bool = False,
     processing_time: str | None = None,
+    even_files: bool = False,
 ) -> StreamingQuery:
-    """Start a query that appends to the directories of ``write_split``, each record once.
+    """Start a query that writes each batch to ``stream_batch=<id>/status=…/valid=…``.
 
-    ``annotate`` keeps no state, so there is no watermark and late records need no care. The
-    parquet sink logs the files of each finished batch and ``read_split`` reads only those, so
-    a batch that is run again after a failure does not double. ``checkpoint`` must be in
-    storage that outlives the driver.
+    ``annotate`` keeps no state, so there is no watermark and late records need no care. A batch
+    that is run again after a failure has the same number and records and replaces its own
+    directory, so nothing doubles, and there is no log that grows with the stream; old batches
+    can be moved or removed. ``checkpoint`` must be in storage that outlives the driver.
+    ``even_files`` is that of ``write_split``. Bound a batch at the source
+    (``max_files_per_trigger``).
     """
-    writer = (
-        annotated.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy(*SPLIT_BY)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-    )
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = evened(batch) if even_files else batch
+        rows.write.mode("overwrite").partitionBy(*SPLIT_BY).parquet(f"{path.rstrip('/')}/{STREAM_BATCH}={number}")
+
+    writer = annotated.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time is not None:

@@ -32,6 +32,12 @@ def test_query_equals_sql(spark, con, name):
     assert rows
 
 
+@pytest.mark.parametrize("name", [n for n in registered.queries() if _of_records(n)])
+def test_no_query_deals_rows_out(spark, name):
+    text = registered.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in text and "Python" not in text
+
+
 def test_entry(spark):
     assert registered.entry(spark).columns == ["problem", "n_records", "n_occurrences"]
     assert registered.entry(spark).count() > 0
