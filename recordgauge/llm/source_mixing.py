@@ -53,18 +53,22 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def topic_by_form(text: Column) -> Column:
+def _measures(text: Column) -> Column:
+    """Counts of a text as a struct: tokens, cell borders and marks."""
+    return F.struct(
+        tokens(text).alias("words"),
+        (F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))).alias("borders"),
+        F.regexp_count(text, F.lit(r"[#*$%&!]")).alias("marks"),
+    )
+
+
+def topic_by_form(measures: Column) -> Column:
     """A stand-in where no topic is known: what kind of text it is."""
-    words = tokens(text)
-    cells = F.regexp_count(text, F.lit(r"\|"))
-    marks = F.regexp_count(text, F.lit(r"[#*$%&]"))
-    capitals = F.regexp_count(text, F.lit(r"\p{Lu}"))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    words = measures["words"]
     return (
         F.when(words == 0, "blank")
-        .when(cells * 4 > words, "tabular")
-        .when(marks * 2 > words, "symbolic")
-        .when(capitals * 2 > letters, "shouted")
+        .when(measures["borders"] * 4 > words, "tabular")
+        .when(measures["marks"] * 2 > words, "marked")
         .when(words < 50, "brief")
         .when(words < 1000, "prose")
         .otherwise("treatise")
@@ -73,13 +77,15 @@ def topic_by_form(text: Column) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with its tokens and keys; a null has a key no text has."""
+    # A generator, so that no measure of the text is computed again for each use.
+    counted = docs.select("*", F.explode(F.array(_measures(F.col("text")))).alias("_measures"))
     if "topic" not in docs.columns:
-        docs = docs.withColumn("topic", topic_by_form(F.col("text")))
+        counted = counted.withColumn("topic", topic_by_form(F.col("_measures")))
     keys = {
         key: F.coalesce(F.concat(F.lit("="), F.col(d).cast("string")), F.lit(""))
         for key, d in zip(_KEYS, DIMENSIONS, strict=True)
     }
-    return with_columns(docs, n_tokens=tokens(F.col("text")), **keys)
+    return with_columns(counted, n_tokens=F.col("_measures.words"), **keys).drop("_measures")
 
 
 def _targets(cells: DataFrame, key: str, given: Mapping[str, float] | None, s: Settings) -> DataFrame:
@@ -164,8 +170,8 @@ def mixed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def sample(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged."""
-    own = [c for c in docs.columns if c not in ("weight", "probability", "kept")]
-    if own == docs.columns:
+    added = {"n_tokens", "weight", "probability", "kept", "_measures", *_KEYS}
+    if not added & {c.lower() for c in docs.columns}:
         return mixed(docs, s).where("kept").select(*docs.columns)
     packed = docs.select("doc_id", "text", *(c for c in DIMENSIONS if c in docs.columns), F.struct("*").alias("_all"))
     return mixed(packed, s).where("kept").select("_all.*")
