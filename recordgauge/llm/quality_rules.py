@@ -9,7 +9,8 @@ are not all different go on to sort them.
 
 Defined results: a null text counts as an empty one, has no words and fails the base rules.
 Texts of any length are measured whole. Repeated rows get equal results; an empty table gives
-an empty one. ``measured`` carries other columns along and replaces those of equal name.
+an empty one. ``measured`` carries other columns along and replaces those of equal name; ones
+named ``_words`` or ``_lines`` are dropped.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     # A generator, so that the split texts are not computed again for each measure.
     parts = F.inline(F.array(F.struct(words.alias("_words"), lines.alias("_lines"))))
-    split = docs.select("*", parts)
+    split = docs.drop("_words", "_lines").select("*", parts)
     w, ln = F.col("_words"), F.col("_lines")
     measures = {
         "n_words": F.size(w),

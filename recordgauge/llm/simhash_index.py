@@ -224,16 +224,16 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     The one with the smallest doc_id stays, nulls last; of equal ids the first written row.
     """
     numbered = with_columns(
-        docs, _fp=fingerprint(F.col(text)), _row=F.monotonically_increasing_id()
+        docs, _simhash_fp=fingerprint(F.col(text)), _simhash_row=F.monotonically_increasing_id()
     )
     # Written before use: only then is a row's number the same for every reader.
     numbered, _ = staged(numbered, "simhash-documents")
-    slim = numbered.select(F.col(doc_id).alias("doc_id"), F.col("_fp").alias("fp"), "_row")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    slim = numbered.select(F.col(doc_id).alias("doc_id"), F.col("_simhash_fp").alias("fp"), "_simhash_row")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_simhash_row")
     stay = (
         slim.join(classes(slim), "fp")
         .groupBy("root")
         .agg(F.min(rank).alias("first"))
-        .select(F.col("first._row").alias("_row"))
+        .select(F.col("first._simhash_row").alias("_simhash_row"))
     )
-    return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
+    return numbered.join(stay, "_simhash_row", "left_semi").select(*docs.columns)
