@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def component_roots(links: DataFrame) -> DataFrame:
-    """(node, root) for every node that has a link; root is the component's smallest node.
+    """(node, root) for every linked node that is no root; root is the component's smallest node.
 
     ``links`` has two bigint columns. Every round is written to the shared folder, so that the
     plan stays short and a lost executor costs one round at most. The number of rounds grows
