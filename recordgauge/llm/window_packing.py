@@ -139,6 +139,13 @@ def _packed(pieces: Iterable[Piece], length: int, open_windows: int, round_: int
             take(window, False)
         if size >= 256 * length:
             yield batch()
+    if last:
+        # What is left of the whole table: fewer than open_windows sequences, filled in turn.
+        final = Packer(length, 1)
+        for piece in [p for window in packer.rest() for p in window.pieces]:
+            for window in final.place(piece):
+                take(window, False)
+        packer = final
     for window in packer.rest():
         take(window, not last)
     if rows:
