@@ -53,7 +53,7 @@ class Settings:
     #: Of the closest members of a group, so many are made known to a member.
     introduced: int = 8
     kept: int = 192
-    expanded: int = 48
+    expanded: int = 64
     search_rounds: int = 14
     rescored: int = 32
     seed: int = 17
@@ -290,21 +290,27 @@ def build(nodes: DataFrame, n: int, d: int, s: Settings) -> tuple[DataFrame, str
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sim) of pairs whose codes are side by side; one already known is left as it was."""
-    for batch in batches:
-        if batch.num_rows:
-            sim = np.einsum("ij,ij->i", _codes(batch, "code_a"), _codes(batch, "code_b")).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(sim), pa.array(np.zeros(len(sim), dtype=bool))],
-                names=["a", "b", "sim", "old"],
-            )
+    """Rows sorted by a, with the similarity of those that come with a code instead.
+
+    Every a has one row with a equal to b, which holds its own code.
+    """
+    for table in _whole_runs(batches, "a"):
+        batch = _one(table)
+        a, b = _column(batch, "a"), _column(batch, "b")
+        new = batch.column("sim").is_null().to_numpy(zero_copy_only=False)
+        sim = batch.column("sim").fill_null(_LEAST).to_numpy(zero_copy_only=False).copy()
+        own = batch.filter(pa.array(a == b))
+        if new.any():
+            place = np.searchsorted(_column(own, "a"), a[new])
+            sim[new] = np.einsum("ij,ij->i", _codes(batch.filter(pa.array(new))), _codes(own)[place]).astype(np.int32)
+        yield _batch(a=a, b=b, sim=sim, old=_column(batch, "old"))
 
 
 def _next(s: Settings):
     """The best nodes of each query, with those to expand next marked by place below zero."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _top(s.kept)(batches):
+        for batch in _top(s.kept)(_compared(batches)):
             a, old, place = _column(batch, "a"), _column(batch, "old"), _column(batch, "place").copy()
             waiting = np.cumsum(~old)
             bounds = _starts(a)
@@ -318,6 +324,10 @@ def _next(s: Settings):
     return step
 
 
+def _advanced(rows: DataFrame, s: Settings) -> DataFrame:
+    return rows.repartition("a").sortWithinPartitions("a").mapInArrow(_next(s), _EDGES)
+
+
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, s: Settings) -> tuple[DataFrame, str]:
     """(a, b, sim, …): for each node of ``queries`` its best nodes, by greedy search of the graph."""
     spark = nodes.sparkSession
@@ -326,27 +336,23 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, s: Settings)
         _best(both, 2 * s.neighbours).groupBy("a").agg(F.collect_list("b").alias("bs")).withColumnRenamed("a", "via"),
         "ann-links",
     )
-    codes_a = queries.select(F.col("node").alias("a"), F.col("code").alias("code_a"))
-    codes_b = nodes.select(F.col("node").alias("b"), F.col("code").alias("code_b"))
-    itself = queries.select(
-        F.col("node").alias("a"), F.col("node").alias("b"), F.lit(2**30).cast("int").alias("sim"), F.lit(False).alias("old")
+    codes = nodes.select(F.col("node").alias("b"), "code")
+    own = queries.select(
+        F.col("node").alias("a"), F.col("node").alias("b"), F.lit(2**30).cast("int").alias("sim"), F.lit(False).alias("old"), "code"
     )
-    ordered = itself.repartition("a").sortWithinPartitions("a")
-    state, path = staged(ordered.mapInArrow(_next(s), _EDGES), "ann-search")
+    state, path = staged(_advanced(own, s), "ann-search")
     for _ in range(s.search_rounds):
         picked = state.where("place < 0")
         if not picked.take(1):
             break
+        # Dealt by b once, for both the distinct pairs and the join with the codes.
         reached = (
-            picked.select("a", F.col("b").alias("via")).join(links, "via").select("a", F.explode("bs").alias("b")).where("a <> b").distinct()
-        )
-        compared = (
-            reached.join(codes_a, "a").join(codes_b, "b").select("a", "b", "code_a", "code_b").mapInArrow(_compared, "a long, b long, sim int, old boolean")
+            picked.select("a", F.col("b").alias("via")).join(links, "via").select("a", F.explode("bs").alias("b")).where("a <> b").repartition("b").distinct()
         )
-        known = state.select("a", "b", "sim", (F.col("old") | (F.col("place") < 0)).alias("old"))
-        ordered = known.unionAll(compared).repartition("a").sortWithinPartitions("a")
+        found = reached.join(codes, "b").select("a", "b", F.lit(None).cast("int").alias("sim"), F.lit(False).alias("old"), "code")
+        known = state.where("a <> b").select("a", "b", "sim", (F.col("old") | (F.col("place") < 0)).alias("old"), F.lit(None).cast("binary").alias("code"))
         before = path
-        state, path = staged(ordered.mapInArrow(_next(s), _EDGES), "ann-search")
+        state, path = staged(_advanced(known.unionAll(found).unionAll(own.withColumn("old", F.lit(True))), s), "ann-search")
         discard(spark, before)
     discard(spark, path_links)
     return state, path
@@ -357,7 +363,8 @@ def _cosine(one: str, other: str):
 
     def of(x: str):
         v = F.col(x)
-        return F.transform(v, lambda c: c / F.array_max(F.transform(v, F.abs)))
+        largest = F.array(F.array_max(F.transform(v, F.abs)))
+        return F.transform(largest, lambda m: F.transform(v, lambda c: c / m))[0]
 
     def dot(p, q):
         return F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
