@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from recordgauge.llm.columns import per_text, with_columns
 from recordgauge.llm.components import component_roots
-from recordgauge.plans.scratch import staged
+from recordgauge.plans.scratch import discard, staged
 
 BITS = 64
 POSITIONS = 8
@@ -199,8 +199,9 @@ def classes(fingerprints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(fp, root, component_id) per distinct value of the column ``fp``."""
     members = fingerprints.groupBy("fp").agg(F.min(doc_id).alias("first_doc"))
     members, _ = staged(members, "simhash-members")
-    links, _ = staged(fingerprint_links(members), "simhash-links")
+    links, path = staged(fingerprint_links(members), "simhash-links")
     roots = component_roots(links)
+    discard(fingerprints.sparkSession, path)
     rooted = members.join(roots, members.fp == roots.node, "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first_doc"
     )
