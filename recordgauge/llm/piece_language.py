@@ -43,11 +43,12 @@ from recordgauge.plans.scratch import discard, staged
 FOLDS, HELD_OUT = 3, 1
 UNDETERMINED = "und"
 VOCABULARY = "piece_bpe_32k.model"
-MAX_WORDS = 200_000
+MAX_WORDS = 400_000
 UNKNOWN = 1e-8
 _MARK = "▁"  # how the vocabulary writes a word's beginning
 _WORD = re.compile(r"[^\W\d_]+")
 _SMALL, _LARGE = 1e-200, 1e200
+SHORT = 48  # letters of a word that is tried without scaling
 
 
 @dataclass(frozen=True)
@@ -97,13 +98,51 @@ def forward(word: str, table: dict[str, list[float]], longest: int, n: int) -> t
     return sums, scales
 
 
-def log_probability(word: str, table: dict[str, list[float]], longest: int, n: int) -> list[float]:
-    sums, scales = forward(word, table, longest, n)
+def stepped(table: dict[str, list[float]]) -> dict[str, list[float]]:
+    """The table with an empty row for every beginning of a piece that is none itself, so that a
+    search from a position can end where no piece goes on."""
+    return {p[:k]: [] for p in table for k in range(1, len(p))} | table
+
+
+def log_probability(word: str, steps: dict[str, list[float]], longest: int, n: int) -> list[float]:
+    """Per model the logarithm of the word's probability; ``steps`` is a ``stepped`` table."""
+    size, get = len(word), steps.get
+    if size <= SHORT:
+        links = []
+        for start in range(size):
+            for end in range(start + 1, min(size, start + longest) + 1):
+                p = get(word[start:end])
+                if p:
+                    links.append((start, end, p))
+                elif p is None:
+                    break
+            if not get(word[start]):
+                links.append((start, start + 1, [UNKNOWN] * n))
+        whole = []
+        for k in range(n):
+            ahead = [1.0] + [0.0] * size
+            for start, end, p in links:
+                ahead[end] += ahead[start] * p[k]
+            whole.append(ahead[size])
+        if min(whole) > _SMALL:
+            return [math.log(x) for x in whole]
+    sums, scales = forward(word, {p: row for p, row in _inside(word, steps, longest)}, longest, n)
     shift = scales[-1] * math.log(_LARGE)
     # In a scaled word a language may fall to zero next to the others; it keeps a floor.
     return [math.log(max(s, 5e-324)) - shift for s in sums[-1]]
 
 
+def _inside(word: str, steps: dict[str, list[float]], longest: int) -> Iterator[tuple[str, list[float]]]:
+    """The pieces that occur in a word."""
+    for start in range(len(word)):
+        for end in range(start + 1, min(len(word), start + longest) + 1):
+            p = steps.get(word[start:end])
+            if p:
+                yield word[start:end], p
+            elif p is None:
+                break
+
+
 def expected_counts(word: str, table: dict[str, float], longest: int) -> dict[str, float]:
     """Each piece's expected number in a word over all segmentations, by forward and backward sums."""
     size = len(word)
@@ -136,6 +175,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.table), default=1)
+        self.steps = stepped(self.table)
         self.places: dict[str, int] = {}
         self.scores = np.zeros((MAX_WORDS, len(self.languages)))
 
@@ -160,7 +200,7 @@ class Model:
         place = self.places.get(word)
         if place is None:
             place = self.places[word] = len(self.places)
-            self.scores[place] = log_probability(_MARK + word, self.table, self.longest, len(self.languages))
+            self.scores[place] = log_probability(_MARK + word, self.steps, self.longest, len(self.languages))
         return place
 
 

@@ -136,7 +136,9 @@ def test_forward_and_counts_equal_all_segmentations():
                 total += weight
                 for p in parts:
                     counts[p] = counts.get(p, 0.0) + weight
-        got = pl.log_probability(word, {p: [v, v / 2] for p, v in table.items()}, 3, 2)
+        got = pl.log_probability(word, pl.stepped({p: [v, v / 2] for p, v in table.items()}), 3, 2)
+        slow, scales = pl.forward(word, {p: [v, v / 2] for p, v in table.items()}, 3, 2)
+        assert scales[-1] == 0 and all(math.isclose(math.log(x), y) for x, y in zip(slow[-1], got, strict=True))
         assert math.isclose(got[0], math.log(total), rel_tol=1e-9)
         expected = pl.expected_counts(word, table, 3)
         assert all(math.isclose(expected[p], c / total, rel_tol=1e-6, abs_tol=1e-12) for p, c in counts.items())
@@ -144,7 +146,7 @@ def test_forward_and_counts_equal_all_segmentations():
 
 def test_very_long_words_do_not_underflow():
     table = {"a": [0.1, 0.2], "aa": [0.01, 0.02]}
-    short, long = (pl.log_probability("a" * n, table, 2, 2) for n in (300, 3_000))
+    short, long = (pl.log_probability("a" * n, pl.stepped(table), 2, 2) for n in (300, 3_000))
     assert all(math.isfinite(x) for x in long)
     assert math.isclose(long[1] / short[1], 10, rel_tol=0.02)
 
