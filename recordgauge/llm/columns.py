@@ -22,7 +22,7 @@ def per_text(fn: Callable, returns: DataType | str) -> Callable[..., Column]:
 def with_columns(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with these columns; columns of the same name (in any case) are replaced."""
     taken = {name.lower() for name in columns}
-    kept = [df[f"`{c}`"] for c in df.columns if c.lower() not in taken]
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in taken]
     return df.select(*kept, *(c.alias(name) for name, c in columns.items()))
 
 
