@@ -2,9 +2,10 @@
 
 Equal vectors are one node of the graph, with as many of their smallest ids as a result can
 need, so groups of copies neither fill each other's neighbour lists nor make pairs. A node's
-direction is kept as a code of one signed byte per component; the cosine of two codes in whole
-numbers guides building and searching. Reported scores are computed in double precision from
-the original vectors of the ``rescored`` best nodes of each query.
+code is its vector in single precision, scaled by a power of two (exact for single precision
+vectors); the cosine of two codes in double precision guides building and searching. Reported
+scores are computed in double precision from the original vectors of the ``rescored`` best nodes
+of each query and of those that tie with the last of them within the codes' rounding.
 
 Building. Random hyperplanes cut the nodes into small blocks, a few times over; each node's
 nearest of its blocks are its first neighbours. Then rounds of NN-descent: a join sends every
@@ -40,8 +41,9 @@ from recordgauge.plans.scratch import discard, staged
 
 GROUP = 64
 BLOCK = 512
-_SCALE = 127.0
-_LEAST = -(1 << 30)
+_LEAST = -9.0
+#: Cosines of codes that differ by no more than this may be in the other order.
+_ROUNDING = 2.0**-22
 
 
 @dataclass(frozen=True)
@@ -67,9 +69,10 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _codes(batch: pa.RecordBatch, name: str = "code") -> np.ndarray:
-    """The codes of a batch as a matrix of whole numbers in single precision."""
+    """The codes of a batch as unit vectors in double precision."""
     rows = batch.column(name).to_pylist()
-    return np.frombuffer(b"".join(rows), dtype=np.int8).reshape(len(rows), -1).astype(np.float32)
+    x = np.frombuffer(b"".join(rows), dtype=np.float32).reshape(len(rows), -1).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -115,7 +118,7 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in columns.items()})
 
 
-_EDGES = "a long, b long, sim int, old boolean, place int"
+_EDGES = "a long, b long, sim double, old boolean, place int"
 
 
 def _top(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -125,11 +128,11 @@ def _top(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         for table in _whole_runs(batches, "a"):
             batch = _one(table)
             a, b, sim, old = (_column(batch, c) for c in ("a", "b", "sim", "old"))
-            order = np.lexsort((~old, b, -sim.astype(np.int64), a))
+            # Equal pairs may differ in the last bits of sim, so they are found by a and b alone.
+            order = np.lexsort((~old, b, a))
+            order = order[_starts(a[order], b[order])[:-1]]
+            order = order[np.lexsort((b[order], -sim[order], a[order]))]
             a, b, sim, old = a[order], b[order], sim[order], old[order]
-            first = np.zeros(len(a), dtype=bool)
-            first[_starts(a, b, sim)[:-1]] = True
-            a, b, sim, old = a[first], b[first], sim[first], old[first]
             bounds = _starts(a)
             place = np.arange(len(a)) - np.repeat(bounds[:-1], np.diff(bounds))
             kept = place < size
@@ -172,9 +175,9 @@ def _nodes(vectors: DataFrame, s: Settings) -> tuple[DataFrame, str]:
             if not batch.num_rows:
                 continue
             x = np.array(batch.column("vector").to_pylist(), dtype=np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            code = [row.tobytes() for row in np.rint(x * _SCALE).astype(np.int8)]
+            # So that no square overflows or vanishes; a power of two rounds nothing.
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+            code = [row.tobytes() for row in x.astype(np.float32)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), batch.column("vector"), batch.column("ids"), pa.array(code, pa.binary())],
                 names=["node", "vector", "ids", "code"],
@@ -217,7 +220,7 @@ def _first_links(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
                     np.fill_diagonal(sims, _LEAST)
                     near = _closest(sims, min(s.neighbours // 2, len(node) - 1))
                     a = np.repeat(node, near.shape[1])
-                    sim = np.take_along_axis(sims, near, axis=1).ravel().astype(np.int32)
+                    sim = np.take_along_axis(sims, near, axis=1).ravel()
                     yield _batch(a=a, b=node[near.ravel()], sim=sim, old=np.zeros(len(a), dtype=bool))
 
     return (
@@ -225,7 +228,7 @@ def _first_links(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
         .mapInArrow(placed, "tree int, block long, node long, code binary")
         .repartition("tree", "block")
         .sortWithinPartitions("tree", "block", F.xxhash64("node"))
-        .mapInArrow(linked, "a long, b long, sim int, old boolean")
+        .mapInArrow(linked, "a long, b long, sim double, old boolean")
     )
 
 
@@ -258,7 +261,7 @@ def _introductions(nodes: DataFrame, graph: DataFrame, round_: int, s: Settings)
                     near = _closest(sims, s.introduced)
                     sim = np.take_along_axis(sims, near, axis=1)
                     better = sim > bar[part][:, None]
-                    found.append((np.repeat(who, near.shape[1])[better.ravel()], who[near[better]], sim[better].astype(np.int32)))
+                    found.append((np.repeat(who, near.shape[1])[better.ravel()], who[near[better]], sim[better]))
             if found:
                 a, b, sim = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield _batch(a=a, b=b, sim=sim, old=np.zeros(len(a), dtype=bool))
@@ -267,7 +270,7 @@ def _introductions(nodes: DataFrame, graph: DataFrame, round_: int, s: Settings)
         members.join(known, "node")
         .repartition("at")
         .sortWithinPartitions("at", F.xxhash64(F.lit(round_), "node"))
-        .mapInArrow(meet, "a long, b long, sim int, old boolean")
+        .mapInArrow(meet, "a long, b long, sim double, old boolean")
     )
 
 
@@ -302,7 +305,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = batch.filter(pa.array(a == b))
         if new.any():
             place = np.searchsorted(_column(own, "a"), a[new])
-            sim[new] = np.einsum("ij,ij->i", _codes(batch.filter(pa.array(new))), _codes(own)[place]).astype(np.int32)
+            sim[new] = np.einsum("ij,ij->i", _codes(batch.filter(pa.array(new))), _codes(own)[place])
         yield _batch(a=a, b=b, sim=sim, old=_column(batch, "old"))
 
 
@@ -338,7 +341,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, s: Settings)
     )
     codes = nodes.select(F.col("node").alias("b"), "code")
     own = queries.select(
-        F.col("node").alias("a"), F.col("node").alias("b"), F.lit(2**30).cast("int").alias("sim"), F.lit(False).alias("old"), "code"
+        F.col("node").alias("a"), F.col("node").alias("b"), F.lit(2.0).alias("sim"), F.lit(False).alias("old"), "code"
     )
     state, path = staged(_advanced(own, s), "ann-search")
     for _ in range(s.search_rounds):
@@ -349,7 +352,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, s: Settings)
         reached = (
             picked.select("a", F.col("b").alias("via")).join(links, "via").select("a", F.explode("bs").alias("b")).where("a <> b").repartition("b").distinct()
         )
-        found = reached.join(codes, "b").select("a", "b", F.lit(None).cast("int").alias("sim"), F.lit(False).alias("old"), "code")
+        found = reached.join(codes, "b").select("a", "b", F.lit(None).cast("double").alias("sim"), F.lit(False).alias("old"), "code")
         known = state.where("a <> b").select("a", "b", "sim", (F.col("old") | (F.col("place") < 0)).alias("old"), F.lit(None).cast("binary").alias("code"))
         before = path
         state, path = staged(_advanced(known.unionAll(found).unionAll(own.withColumn("old", F.lit(True))), s), "ann-search")
@@ -393,9 +396,11 @@ def nearest(
     )
     found, path_found = search(nodes, graph, asking.dropDuplicates(["node"]).select("node", "code"), s)
     top = found.where(F.col("b") != F.col("a")).select(
-        "a", "b", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b")).alias("_near")
+        "a", "b", "sim", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b")).alias("_near")
     )
-    pairs = top.where(F.col("_near") <= s.rescored).select("a", "b").unionAll(
+    last = F.max(F.when(F.col("_near") == s.rescored, F.col("sim"))).over(Window.partitionBy("a"))
+    top = top.withColumn("_last", F.coalesce(last, F.lit(_LEAST)))
+    pairs = top.where((F.col("_near") <= s.rescored) | (F.col("sim") >= F.col("_last") - _ROUNDING)).select("a", "b").unionAll(
         asking.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
     )
     left = nodes.select(F.col("node").alias("a"), F.col("vector").alias("va"))

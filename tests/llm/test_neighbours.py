@@ -66,3 +66,31 @@ def test_recall(spark):
     expected = brute(rows, set(range(0, 1_500, 50)))
     hits = [i in {j for _, j, _ in got[q]} for q, lists in expected.items() for i, _ in lists[0]]
     assert sum(hits) / len(hits) >= 0.95
+
+
+def recall(spark, vectors, step):
+    """Share of the true nearest by score: a row as near as the fifth counts, whatever its id."""
+    got = result(nn.nearest(frame(spark, [(i, v.tolist()) for i, v in enumerate(vectors)]).repartition(5), f"id % {step} = 0"))
+    x = vectors.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for q in range(0, len(x), step):
+        sims = x @ x[q]
+        sims[q] = -2
+        fifth = np.sort(sims)[-5]
+        hits += [score >= fifth - 1e-12 for _, _, score in got[q]]
+        assert len(got[q]) == 5
+    return sum(hits) / len(hits)
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.001])
+def test_recall_in_clusters(spark, spread):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 64))
+    assert recall(spark, np.repeat(centres, 250, axis=0) + spread * rng.normal(size=(1_500, 64)), 25) >= 0.95
+
+
+def test_recall_with_a_third_of_near_copies(spark):
+    rng = np.random.default_rng(9)
+    near = rng.normal(size=64) + 0.02 * rng.normal(size=(600, 64))
+    assert recall(spark, np.concatenate([near, rng.normal(size=(1_200, 64))]), 20) >= 0.95
