@@ -8,7 +8,8 @@ scores are computed in double precision from the original vectors of the ``resco
 of each query and of those that tie with the last of them within the codes' rounding.
 
 Building. Random hyperplanes cut the nodes into small blocks, a few times over; each node's
-nearest of its blocks are its first neighbours. Then rounds of NN-descent: a join sends every
+nearest of its blocks are its first neighbours. One more cut, by a hash into groups of about
+``GROUP``, gives links to nodes that share no block with another. Then rounds of NN-descent: a join sends every
 node's code to the nodes it is a neighbour of and that are its neighbours, there all members
 meet (neighbours of neighbours), and each member learns of the closest ones it did not know.
 Only pairs with a link that is new in this round are looked at. A node's list has ``neighbours``
@@ -192,7 +193,8 @@ def _nodes(vectors: DataFrame, s: Settings) -> tuple[DataFrame, str]:
 def _first_links(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
     """(a, b, sim, old) within blocks of nodes on the same sides of random hyperplanes."""
     bits = max(0, math.ceil(math.log2(max(1.0, n / (BLOCK / 2)))))
-    planes = np.random.default_rng(s.seed).normal(size=(s.trees, d, bits)).astype(np.float32)
+    planes = np.random.default_rng(s.seed).normal(size=(s.trees, d, bits))
+    groups = max(1, n // GROUP)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,13 +208,18 @@ def _first_links(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
                     names=["tree", "block", "node", "code"],
                 )
 
+    def cut(low: int, high: int) -> np.ndarray:
+        """Bounds of slices of at most ``BLOCK`` rows, as even as can be: none is of one row alone."""
+        return np.linspace(low, high, math.ceil((high - low) / BLOCK) + 1).astype(int)
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_runs(batches, "tree", "block"):
             whole = _one(table)
             bounds = _starts(_column(whole, "tree"), _column(whole, "block"))
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-                for at in range(low, high, BLOCK):
-                    some = whole.slice(at, min(BLOCK, high - at))
+                at = cut(low, high)
+                for first, after in zip(at[:-1], at[1:], strict=True):
+                    some = whole.slice(first, after - first)
                     if some.num_rows < 2:
                         continue
                     node, x = _column(some, "node"), _codes(some)
@@ -223,9 +230,13 @@ def _first_links(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
                     sim = np.take_along_axis(sims, near, axis=1).ravel()
                     yield _batch(a=a, b=node[near.ravel()], sim=sim, old=np.zeros(len(a), dtype=bool))
 
+    dealt = nodes.select(
+        F.lit(s.trees).alias("tree"), F.pmod(F.xxhash64(F.lit(s.seed), "node"), F.lit(groups)).alias("block"), "node", "code"
+    )
     return (
         nodes.select("node", "code")
         .mapInArrow(placed, "tree int, block long, node long, code binary")
+        .unionAll(dealt)
         .repartition("tree", "block")
         .sortWithinPartitions("tree", "block", F.xxhash64("node"))
         .mapInArrow(linked, "a long, b long, sim double, old boolean")

@@ -94,3 +94,15 @@ def test_recall_with_a_third_of_near_copies(spark):
     rng = np.random.default_rng(9)
     near = rng.normal(size=64) + 0.02 * rng.normal(size=(600, 64))
     assert recall(spark, np.concatenate([near, rng.normal(size=(1_200, 64))]), 20) >= 0.95
+
+
+def test_a_node_alone_on_its_side_of_every_plane_is_linked(spark):
+    rng = np.random.default_rng(10)
+    centre = rng.normal(size=16)
+    cone = centre + 0.05 * rng.normal(size=(1_500, 16))
+    outliers = np.stack([-centre, -3 * centre + 0.1])
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([outliers[:1], cone, outliers[1:]]))]
+    got = result(nn.nearest(frame(spark, rows), "id % 500 = 0 or id = 1501", s=SMALL))
+    assert {q: [r for r, _, _ in f] for q, f in got.items()} == dict.fromkeys([0, 500, 1000, 1500, 1501], [1, 2, 3, 4, 5])
+    lone = [(i, v.tolist()) for i, v in enumerate(np.concatenate([outliers[:1], cone]))]
+    assert len(result(nn.nearest(frame(spark, lone), "id = 0", s=SMALL))[0]) == 5
