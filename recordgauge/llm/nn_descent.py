@@ -7,19 +7,22 @@ vectors); the cosine of two codes in double precision guides building and search
 scores are computed in double precision from the original vectors of the ``rescored`` best nodes
 of each query and of those that tie with the last of them within the codes' rounding.
 
-Building. Random hyperplanes cut the nodes into small blocks, a few times over; each node's
-nearest of its blocks are its first neighbours. One more cut, by a hash into groups of about
+Building. Random hyperplanes through the mean direction cut the nodes into small blocks, a few times over; each node's
+nearest of its blocks are its first neighbours. A block that many share, as near copies do, is
+dealt to parts of about ``BLOCK`` by a hash that differs from cut to cut. One more cut, by a hash into groups of about
 ``GROUP``, gives links to nodes that share no block with another. Then rounds of NN-descent: a join sends every
 node's code to the nodes it is a neighbour of and that are its neighbours, there all members
 meet (neighbours of neighbours), and each member learns of the closest ones it did not know.
 Only pairs with a link that is new in this round are looked at. A node's list has ``neighbours``
-entries; a node many others point to takes its members in groups of ``GROUP`` in random order.
+entries; a node many others point to takes its members in groups of ``GROUP`` in random order,
+and more than ``HUB`` of them in several tasks.
 
 Searching. A query that is a node starts there and at its own neighbours; each round expands the
 ``expanded`` best nodes not yet expanded among its best ``kept``, by joins with the links and
 the codes, until no query has any left or after ``search_rounds``.
 
-Every round is a written table. Only counts reach the driver.
+Every round is a written table. Only counts and the mean direction reach the driver; the keys of
+large blocks and hubs, at most one for ``HUB`` rows, are sent to all tasks.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, have a null
 id or another dimension than most (ties: the smaller) take no part; a query finds all others if
@@ -42,6 +45,7 @@ from recordgauge.plans.scratch import discard, staged
 
 GROUP = 64
 BLOCK = 512
+HUB = 16 * GROUP
 _LEAST = -9.0
 #: Cosines of codes that differ by no more than this may be in the other order.
 _ROUNDING = 2.0**-22
@@ -112,7 +116,10 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Ta
 
 
 def _one(table: pa.Table) -> pa.RecordBatch:
-    return table.combine_chunks().to_batches()[0]
+    batches = table.combine_chunks().to_batches()
+    if len(batches) != 1:
+        raise ValueError(f"a group of {table.num_rows} rows does not fit in one Arrow batch")
+    return batches[0]
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
@@ -190,17 +197,40 @@ def _nodes(vectors: DataFrame, s: Settings) -> tuple[DataFrame, str]:
 # --- The graph -----------------------------------------------------------------------------
 
 
-def _first_links(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
-    """(a, b, sim, old) within blocks of nodes on the same sides of random hyperplanes."""
+def _mean(nodes: DataFrame, n: int, d: int) -> np.ndarray:
+    """The mean of the nodes' unit vectors, from one sum a task."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(d)
+        for batch in batches:
+            if batch.num_rows:
+                total += _codes(batch).sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"total": pa.array([total], pa.list_(pa.float64()))})
+
+    totals = nodes.select("code").mapInArrow(summed, "total array<double>").collect()
+    return np.sum([r.total for r in totals] or [np.zeros(d)], axis=0) / max(1, n)
+
+
+def _in_parts(rows: DataFrame, size: int, salt: list, *keys: str) -> DataFrame:
+    """``rows`` with ``part``, a hash of the node that deals large groups to parts of about ``size``."""
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * size)
+    large = large.select(*keys, F.ceil(F.col("_n") / size).alias("_parts"))
+    part = F.pmod(F.xxhash64(*salt, "node"), F.coalesce("_parts", F.lit(1))).alias("part")
+    return rows.join(F.broadcast(large), [*keys], "left").select(*rows.columns, part)
+
+
+def _blocks(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
+    """(tree, block, node, code, part): the groups of nodes on the same sides of random hyperplanes."""
     bits = max(0, math.ceil(math.log2(max(1.0, n / (BLOCK / 2)))))
     planes = np.random.default_rng(s.seed).normal(size=(s.trees, d, bits))
+    mean = _mean(nodes, n, d)
     groups = max(1, n // GROUP)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _codes(batch)
+            x = _codes(batch) - mean
             for tree in range(s.trees):
                 sides = (x @ planes[tree] > 0) @ (1 << np.arange(bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -208,14 +238,24 @@ def _first_links(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
                     names=["tree", "block", "node", "code"],
                 )
 
+    dealt = nodes.select(
+        F.lit(s.trees).alias("tree"), F.pmod(F.xxhash64(F.lit(s.seed), "node"), F.lit(groups)).alias("block"), "node", "code"
+    )
+    rows = nodes.select("node", "code").mapInArrow(placed, "tree int, block long, node long, code binary").unionAll(dealt)
+    return _in_parts(rows, BLOCK, [F.lit(s.seed + 1), F.col("tree")], "tree", "block")
+
+
+def _first_links(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
+    """(a, b, sim, old) within the parts of the blocks."""
+
     def cut(low: int, high: int) -> np.ndarray:
         """Bounds of slices of at most ``BLOCK`` rows, as even as can be: none is of one row alone."""
         return np.linspace(low, high, math.ceil((high - low) / BLOCK) + 1).astype(int)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_runs(batches, "tree", "block"):
+        for table in _whole_runs(batches, "tree", "block", "part"):
             whole = _one(table)
-            bounds = _starts(_column(whole, "tree"), _column(whole, "block"))
+            bounds = _starts(*(_column(whole, k) for k in ("tree", "block", "part")))
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
                 at = cut(low, high)
                 for first, after in zip(at[:-1], at[1:], strict=True):
@@ -230,35 +270,35 @@ def _first_links(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
                     sim = np.take_along_axis(sims, near, axis=1).ravel()
                     yield _batch(a=a, b=node[near.ravel()], sim=sim, old=np.zeros(len(a), dtype=bool))
 
-    dealt = nodes.select(
-        F.lit(s.trees).alias("tree"), F.pmod(F.xxhash64(F.lit(s.seed), "node"), F.lit(groups)).alias("block"), "node", "code"
-    )
     return (
-        nodes.select("node", "code")
-        .mapInArrow(placed, "tree int, block long, node long, code binary")
-        .unionAll(dealt)
-        .repartition("tree", "block")
-        .sortWithinPartitions("tree", "block", F.xxhash64("node"))
+        _blocks(nodes, n, d, s)
+        .repartition("tree", "block", "part")
+        .sortWithinPartitions("tree", "block", "part", F.xxhash64("tree", "node"))
         .mapInArrow(linked, "a long, b long, sim double, old boolean")
     )
 
 
+def _members(graph: DataFrame, round_: int) -> DataFrame:
+    """(at, node, fresh, part): who meets at which node, in parts where it is many."""
+    fresh = (~F.col("old")).alias("fresh")
+    ends = graph.select(F.col("b").alias("at"), F.col("a").alias("node"), fresh).unionAll(
+        graph.select(F.col("a").alias("at"), F.col("b").alias("node"), fresh)
+    )
+    return _in_parts(ends, HUB, [F.lit(round_), F.col("at")], "at")
+
+
 def _introductions(nodes: DataFrame, graph: DataFrame, round_: int, s: Settings) -> DataFrame:
     """One NN-descent join: what the neighbours of every node's neighbours learn of each other."""
-    fresh = ~F.col("old")
-    members = graph.select(F.col("b").alias("at"), F.col("a").alias("node"), fresh.alias("fresh")).unionAll(
-        graph.select(F.col("a").alias("at"), F.col("b").alias("node"), fresh.alias("fresh"))
-    )
     bars = graph.where(F.col("place") == s.neighbours - 1).select(F.col("a").alias("node"), F.col("sim").alias("bar"))
     known = nodes.select("node", "code").join(bars, "node", "left").select("node", "code", F.coalesce("bar", F.lit(_LEAST)).alias("bar"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_runs(batches, "at"):
+        for table in _whole_runs(batches, "at", "part"):
             whole = _one(table)
             at, node, bar, fresh = (_column(whole, c) for c in ("at", "node", "bar", "fresh"))
             x = _codes(whole)
             found: list[tuple[np.ndarray, ...]] = []
-            bounds = _starts(at)
+            bounds = _starts(at, _column(whole, "part"))
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
                 for first in range(low, high, GROUP):
                     part = slice(first, min(first + GROUP, high))
@@ -278,9 +318,9 @@ def _introductions(nodes: DataFrame, graph: DataFrame, round_: int, s: Settings)
                 yield _batch(a=a, b=b, sim=sim, old=np.zeros(len(a), dtype=bool))
 
     return (
-        members.join(known, "node")
-        .repartition("at")
-        .sortWithinPartitions("at", F.xxhash64(F.lit(round_), "node"))
+        _members(graph, round_).join(known, "node")
+        .repartition("at", "part")
+        .sortWithinPartitions("at", "part", F.xxhash64(F.lit(round_), "node"))
         .mapInArrow(meet, "a long, b long, sim double, old boolean")
     )
 

@@ -106,3 +106,33 @@ def test_a_node_alone_on_its_side_of_every_plane_is_linked(spark):
     assert {q: [r for r, _, _ in f] for q, f in got.items()} == dict.fromkeys([0, 500, 1000, 1500, 1501], [1, 2, 3, 4, 5])
     lone = [(i, v.tolist()) for i, v in enumerate(np.concatenate([outliers[:1], cone]))]
     assert len(result(nn.nearest(frame(spark, lone), "id = 0", s=SMALL))[0]) == 5
+
+
+def test_no_group_grows_with_near_copies_or_a_common_direction(spark):
+    rng = np.random.default_rng(11)
+    centre = 2 * rng.normal(size=32)
+    copies = centre + 0.01 * rng.normal(size=(4_000, 32))
+    vectors = np.concatenate([copies, centre + rng.normal(size=(8_000, 32))])
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(vectors)])
+    nodes, path = nn._nodes(df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")), SMALL)
+    sizes = nn._blocks(nodes, 12_000, 32, SMALL).groupBy("tree", "block", "part").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * nn.BLOCK + 100
+    assert nn._blocks(nodes, 12_000, 32, SMALL).count() == 12_000 * (SMALL.trees + 1)
+    nn.discard(spark, path)
+    hub = spark.range(1, 20_001).selectExpr("id as a", "0L as b", "false as old")
+    parts = nn._members(hub, 0)
+    assert parts.count() == 40_000 and parts.groupBy("at", "part").count().agg(F.max("count")).first()[0] <= 2 * nn.HUB
+
+
+def test_a_group_in_several_batches_is_not_cut():
+    class Two:
+        num_rows = 2
+
+        def combine_chunks(self):
+            return self
+
+        def to_batches(self):
+            return [1, 2]
+
+    with pytest.raises(ValueError):
+        nn._one(Two())
