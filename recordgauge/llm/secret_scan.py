@@ -3,7 +3,9 @@
 A byte-pair vocabulary spends few tokens on text like the one it was built from. A random
 string has no such pairs, so it needs about one token per one and a half characters. The test
 takes unbroken runs of key characters, leaves out what is random by nature but no secret
-(digests, UUIDs, mail addresses, plain numbers), and reports runs with few characters per token.
+(digests, UUIDs, mail addresses, times, plain numbers), and reports runs with few characters per
+token. A run that is not reported whole is cut at its joints (``CUTS``) and its parts are tested
+too; a leading date or time is cut off, and what follows it is tested.
 
 A span is (kind, start, end) in code points, end exclusive. Base kinds are always reported;
 ``random`` spans are added where no base span overlaps.
@@ -43,15 +45,22 @@ MAX_CHARS_PER_TOKEN = 1.9
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPAN_TYPE = "array<struct<kind:string,start:long,end:long>>"
 
-_RUN = re.compile(
-    r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_-]+(?:[.=][A-Za-z0-9+/_-]+)*=*(?![A-Za-z0-9+/_@-])"
-)
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:[.=][A-Za-z0-9+/_-]+)*=*")
+#: Joints of a run, coarse to fine: name and value or dotted parts, paths, words.
+CUTS = tuple(re.compile(x) for x in ("[^.=]+=*", "[^/]+", "[^_+-]+"))
+_LOCAL_PART = re.compile(r"[A-Za-z0-9._+-]+")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])")
+_USER_INFO = re.compile(r"://[^\s/@]*\Z")
 # Lengths of hexadecimal digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _NUMERIC = re.compile(r"[0-9+/_=.-]+")
-_DATED = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])")
+_TIME = re.compile(
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"(?:[T_-]?[0-9]{2}(?:[-.]?[0-9]{2}){0,2}(?:\.[0-9]+)?Z?(?:[+-][0-9]{2}-?[0-9]{2})?)?(?![0-9A-Za-z])"
+)
+_JOINTS = "+/_=.-"
 
 
 @lru_cache(maxsize=2)
@@ -65,15 +74,16 @@ def _encoding(path: str) -> tiktoken.Encoding:
 
 
 def is_identifier(run: str) -> bool:
-    """Whether a run is a digest, a UUID, dated or all digits: costs tokens, but hides nothing."""
-    if _NUMERIC.fullmatch(run) or _UUID.fullmatch(run) or _DATED.match(run):
+    """Whether a run is a digest, a UUID, a time or all digits: costs tokens, but hides nothing."""
+    if _NUMERIC.fullmatch(run) or _UUID.fullmatch(run) or _TIME.fullmatch(run):
         return True
     return len(run) in DIGEST_LENGTHS and _HEXADECIMAL.fullmatch(run) is not None
 
 
 def looks_random(run: str, encoding: tiktoken.Encoding) -> bool:
-    """Whether a run mixes letters with digits and costs many tokens."""
-    if not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run):
+    """Whether a run of letters, or one that mixes them with digits, costs many tokens."""
+    # Joints cost a token each, so words without a digit are tested one by one.
+    if not re.search(r"[A-Za-z]", run) or not (run.isalpha() or re.search(r"[0-9]", run)):
         return False
     return len(run) <= MAX_CHARS_PER_TOKEN * len(encoding.encode_ordinary(run))
 
@@ -98,19 +108,55 @@ def _longest_word(text: str) -> int:
     return max(map(len, text.split()), default=0)
 
 
+def _random_parts(run: str, at: int, encoding: tiktoken.Encoding, level: int = 0) -> list[tuple[int, int]]:
+    """Where a run that starts at ``at``, or else its parts, cost many tokens."""
+    while (time := _TIME.match(run)) and time.end() < len(run):
+        rest = run[time.end() :].lstrip(_JOINTS)
+        at, run = at + len(run) - len(rest), rest
+    if len(run) < MIN_RUN or is_identifier(run):
+        return []
+    if looks_random(run, encoding):
+        return [(at, at + len(run))]
+    found: list[tuple[int, int]] = []
+    for finer in range(level, len(CUTS)):
+        parts = list(CUTS[finer].finditer(run))
+        if len(parts) == 1 and len(parts[0][0]) == len(run):
+            continue
+        for m in parts:
+            found += _random_parts(m[0], at + m.start(), encoding, finer + 1)
+        break
+    return found
+
+
+def _address_end(text: str, start: int, end: int) -> int | None:
+    """Where the mail address ends whose first part is the run; None where it is none."""
+    domain = _DOMAIN.match(text, end)
+    if not domain or not _LOCAL_PART.fullmatch(text, start, end):
+        return None
+    # In postgres://user:run@host the run is a password.
+    return None if _USER_INFO.search(text[max(0, start - 300) : start]) else domain.end()
+
+
 def random_spans(
     text: str, taken: list[tuple[str, int, int]], vocabulary: str
 ) -> list[tuple[str, int, int]]:
     """Runs that fail the token-efficiency test and overlap none of ``taken``."""
     if _longest_word(text) < MIN_RUN:
         return []
-    spans = []
+    spans, address = [], 0
     for m in _RUN.finditer(text):
         start, end = m.span()
-        if end - start < MIN_RUN or any(start < e and s < end for _, s, e in taken):
+        if text[end : end + 1] == "@":
+            address = _address_end(text, start, end) or address
+            if address > end:
+                continue
+        # The run of an address's domain may go on with a path.
+        start = max(start, min(address, end))
+        if end - start < MIN_RUN:
             continue
-        if not is_identifier(m[0]) and looks_random(m[0], _encoding(vocabulary)):
-            spans.append(("random", start, end))
+        for low, high in _random_parts(text[start:end], start, _encoding(vocabulary)):
+            if not any(low < e and s < high for _, s, e in taken):
+                spans.append(("random", low, high))
     return spans
 
 

@@ -143,3 +143,43 @@ def test_query_equals_plain_search(spark):
             joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
             assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
             assert r.n_assign == sum(k == "assign" for k, _, _ in base)
+
+
+KEY = "hG7kQ2xV9mZ4tR8wB1nC6yL3"
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("postgres://admin:", "@host.example.com/db"), ("see .", " there"), ("k==", ""), ("a@", ""), ("2024-01-15-", ""), ("2024-01-15T10-20-30Z_", ".log"),
+        ("https://example.com/some/long/path/of/ordinary/words/and/more/documents/", "/index.html"), ("the_configuration_value_of_this_service=", ""),
+        ("information.about.the.administration.of.the.application.", ""), ("x@mail.example.com/", ""), ("", "@host"),
+        ("international-administration-and-documentation-", "-information"),
+    ],
+)
+def test_random_strings_are_found_beside_other_signs(before, after):
+    found = [x for x in s.spans_of(before + KEY + after) if x[0] == "random"]
+    assert len(found) == 1 and found[0][1] <= len(before) and found[0][2] >= len(before + KEY)
+    assert KEY not in s.masked(before + KEY + after)
+
+
+def test_random_letters_are_found():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(string.ascii_letters) for _ in range(n)) for n in range(20, 41) for _ in range(20)]
+    assert sum(s.masked(f"it is {t} here") == "it is [SECRET] here" for t in texts) >= 0.99 * len(texts)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"{KEY}@mail.example.com", "2024-01-15T10-20-30.123456789Z", "2024-01-15_10-20-30+0100", "to-do-it-as-we-go-on-up-by-us", "and/or/he/she/it/we/us/me/my",
+        "Rindfleischetikettierungsueberwachungsaufgabe", "getUserAccountByIdAndName", "=" * 60, "2024-01-15-report-of-the-administration",
+    ],
+)
+def test_addresses_times_and_words_are_left_alone(text):
+    assert [x for x in s.spans_of(text) if x[0] == "random"] == []
+
+
+def test_long_runs_end():
+    for text in ("a." * 50_000, "2024-01-15-" * 10_000, "a@" * 50_000, "x1/" * 50_000):
+        assert isinstance(s.spans_of(text), list)
