@@ -1,8 +1,8 @@
 """Main text of web pages by two passes over their blocks.
 
 A page is cut into blocks at block-level tags. The first pass decides what it can from a
-block's place (menus, footers, adverts, comments and the like are marked as such by their tags
-or names), its link density, its length and its share of stop words. What is short, or long but
+block's place (menus, footers, adverts, comments and the like are marked as such by their tags,
+or by names of theirs, see ``named_away``), its link density, its length and its share of stop words. What is short, or long but
 neither prose nor marked, stays open. The second pass gives an open block the label of the
 nearest decided blocks of the same part of the page; where they disagree, the nearer one counts.
 
@@ -53,10 +53,21 @@ NAMES = frozenset(
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription teaser toolbar widget".split()
 )
+#: Words that only say more of the part a name names (comments-area, ad-slot).
+PLACES = frozenset(
+    "area articles bar block body bottom box button buttons container footer form group icon icons inner item items "
+    "left links list main module nav outer panel placeholder posts right section site slot stories top unit user "
+    "widgets wrap wrapper".split()
+)
+#: Words that make a name one of what an element has, not of what it is (has-sidebar).
+HAVING = frozenset("has have hide is no not show with without".split())
+#: With one of these, a header is the head of a text.
+TEXT_WORDS = frozenset("article content entry main post section story text".split())
 COMMENT_NAMES = frozenset("comment comments disqus replies reply respond".split())
 
 MAX_LINKS = 0.4
 SHORT = 80
+DEEPEST_NAMES = 16
 PROSE = 0.2
 _STOP = frozenset(STOP_WORDS)
 
@@ -78,6 +89,7 @@ class Element(NamedTuple):
     outside: bool
     text_part: bool
     part: int
+    named: tuple[int, ...] = ()
 
 
 @dataclass
@@ -89,39 +101,74 @@ class Block:
     part: int
     heading: bool = False
     label: bool | None = None
+    #: The elements around it whose names say that they are no text.
+    named: tuple[int, ...] = ()
+
+
+def _names_it(token: str, names: frozenset[str]) -> bool:
+    """Whether a whole class or id names a part of ``names`` and not what its element has."""
+    words = [w.lower() for w in _NAME_PARTS.findall(token)]
+    said = [w for w in words if w in names]
+    if not said or not HAVING.isdisjoint(words):
+        return False
+    if said[-1] == "header" and not TEXT_WORDS.isdisjoint(words):
+        return False
+    return words[-1] in names or all(w in names or w in PLACES for w in words)
 
 
 def _is_outside(tag: str, attributes: str, in_text_part: bool) -> bool:
-    """Whether an element is known not to hold the page's text."""
+    """Whether an element is known by more than a name not to hold the page's text."""
     if tag in OUTSIDE or (tag == "header" and not in_text_part):
         return True
     if not attributes or tag in ("html", "body"):
         return False
     if _HIDDEN.search(attributes):
         return True
-    names: set[str] = set()
-    for kind, *values in _NAMED.findall(attributes):
-        value = "".join(values)
-        if kind.lower() == "role" and value.strip().lower() in ROLES:
-            return True
-        names.update(n.lower() for n in _NAME_PARTS.findall(value))
-    # Parts that declare themselves the text may be named for what they also hold.
-    return bool(names & (COMMENT_NAMES if tag in TEXT_PARTS else NAMES))
+    found = _NAMED.findall(attributes)
+    return any(kind.lower() == "role" and "".join(values).strip().lower() in ROLES for kind, *values in found)
+
+
+def _name_of(tag: str, attributes: str, in_text_part: bool) -> str | None:
+    """What the element's classes and id say that it is: ``comment``, ``other`` or nothing."""
+    if not attributes or tag in ("html", "body"):
+        return None
+    found = [(kind, "".join(values)) for kind, *values in _NAMED.findall(attributes)]
+    tokens = [token for kind, value in found if kind.lower() != "role" for token in value.split()]
+    if any(_names_it(token, COMMENT_NAMES) for token in tokens):
+        return "comment"
+    # Parts that declare themselves the text may be named for what they also hold, and inside
+    # them a header is the text's own.
+    names = NAMES - {"header"} if in_text_part else NAMES
+    return "other" if tag not in TEXT_PARTS and any(_names_it(token, names) for token in tokens) else None
+
+
+@dataclass
+class Page:
+    #: In order, with where they are and how much of them is linked.
+    blocks: list[Block]
+    #: Per part the one around it; a part comes after the one around it.
+    around: list[int]
+    #: Per named element what its name says.
+    names: list[str]
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, with where they are and how much of them is linked."""
+    return parsed(page).blocks
+
+
+def parsed(page: str) -> Page:
     stack = [Element("", False, False, 0)]
+    around, names = [0], []
     blocks: list[Block] = []
     pieces: list[str] = []
-    linked = links = parts = 0
+    linked = links = 0
 
     def close_block() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
             top = stack[-1]
-            blocks.append(Block(text, linked, top.outside, top.text_part, top.part, top.tag in HEADINGS))
+            blocks.append(Block(text, linked, top.outside, top.text_part, top.part, top.tag in HEADINGS, None, top.named))
         pieces.clear()
         linked = 0
 
@@ -163,7 +210,7 @@ def blocks_of(page: str) -> list[Block]:
                 close_block()
             continue
         if tag not in BLOCK and tag not in OUTSIDE:
-            if not _is_outside(tag, rest, stack[-1].text_part):
+            if not _is_outside(tag, rest, stack[-1].text_part) and not _name_of(tag, rest, stack[-1].text_part):
                 continue
         close_block()
         if tag in BLOCK:
@@ -174,15 +221,48 @@ def blocks_of(page: str) -> list[Block]:
             stack.pop()
         above = stack[-1]
         outside = _is_outside(tag, rest, above.text_part)
+        name = None if outside else _name_of(tag, rest, above.text_part)
+        named = above.named
+        # Deeper names add nothing on pages that nest without end.
+        if name and len(named) < DEEPEST_NAMES:
+            names.append(name)
+            named = (*named, len(names) - 1)
         is_part = tag in TEXT_PARTS
         part = above.part
-        if is_part or outside or tag in ("section", "td"):
-            parts += 1
-            part = parts
+        if is_part or outside or name or tag in ("section", "td"):
+            around.append(part)
+            part = len(around) - 1
         if not rest.rstrip().endswith("/") or tag in BLOCK:
-            stack.append(Element(tag, above.outside or outside, above.text_part or is_part, part))
+            stack.append(Element(tag, above.outside or outside, above.text_part or is_part, part, named))
     close_block()
-    return blocks
+    return Page(blocks, around, names)
+
+
+def _is_prose(block: Block) -> bool:
+    words = block.text.split()
+    stop = sum(w.strip(".,;:!?\"'()").lower() in _STOP for w in words) / len(words)
+    return len(block.text) >= SHORT and stop >= PROSE
+
+
+def named_away(page: Page) -> None:
+    """Marks as outside what is in elements named as no text, where the page's prose agrees.
+
+    The name of an element that holds most of the prose says nothing, comments apart. If no
+    prose is left, first the other names and then those of comments say nothing.
+    """
+    prose = [len(b.text) if not b.outside and b.linked <= MAX_LINKS * len(b.text.replace(" ", "")) and _is_prose(b) else 0 for b in page.blocks]
+    held = [0] * len(page.names)
+    for block, n in zip(page.blocks, prose, strict=True):
+        for i in block.named:
+            held[i] += n
+    total = sum(prose)
+    cuts = {i for i, n in enumerate(held) if page.names[i] == "comment" or 2 * n <= total}
+    for kept in ((), ("other",), ("other", "comment")):
+        cuts = {i for i in cuts if page.names[i] not in kept}
+        if not total or any(n and cuts.isdisjoint(b.named) for b, n in zip(page.blocks, prose, strict=True)):
+            break
+    for block in page.blocks:
+        block.outside = block.outside or not cuts.isdisjoint(block.named)
 
 
 def first_pass(block: Block, has_text_part: bool) -> bool | None:
@@ -192,11 +272,7 @@ def first_pass(block: Block, has_text_part: bool) -> bool | None:
     letters = len(block.text.replace(" ", ""))
     if block.linked > MAX_LINKS * letters:
         return False
-    words = block.text.split()
-    stop = sum(w.strip(".,;:!?\"'()").lower() in _STOP for w in words) / len(words)
-    if len(block.text) >= SHORT and stop >= PROSE:
-        return True
-    return None
+    return True if _is_prose(block) else None
 
 
 def second_pass(blocks: list[Block]) -> None:
@@ -238,7 +314,9 @@ def second_pass(blocks: list[Block]) -> None:
 
 def main_text(page: str | None) -> str:
     """The page's text blocks, joined by line feeds."""
-    blocks = blocks_of(page or "")
+    found = parsed(page or "")
+    named_away(found)
+    blocks = found.blocks
     has_text_part = any(b.text_part and not b.outside for b in blocks)
     for block in blocks:
         block.label = first_pass(block, has_text_part)

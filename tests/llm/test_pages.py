@@ -79,3 +79,32 @@ def test_query_gives_the_articles(spark):
         lines = re.sub(r"<[^>]*>", " ", re.sub(r"</?(?:p|h1)>", "\n", article)).split("\n")
         expected = [" ".join(reference.unescape(x).split()) for x in lines]
         assert r.text == "\n".join(x for x in expected if x) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content has-sidebar'>{}</div>", "<div id='page' class='no-sidebar'>{}</div>", "<div class='search-result'>{}</div>",
+        "<article class='post with-comments'>{}</article>", "<div class='widget'>{}</div>", "<div class='layout sidebar-right'>{}<div class=sidebar>x</div></div>",
+        "<div class='elementor-widget'>{}</div><div class='elementor-widget'></div>", "<div class='related'>{}</div><p>Short.",
+    ],
+)
+def test_names_of_containers_do_not_cut_the_text(page):
+    text = f"<p>{PROSE}</p><p>{PROSE}</p>"
+    assert b.main_text(page.format(text)).startswith(f"{PROSE}\n{PROSE}")
+
+
+def test_an_entry_header_is_the_headline():
+    head = "<div class='entry-header'><h1>Title</h1></div>"
+    assert b.main_text(f"<article>{head}<p>{PROSE}</p></article>") == f"Title\n{PROSE}"
+    assert b.main_text(f"<div>{head}<p>{PROSE}</p></div>") == f"Title\n{PROSE}"
+
+
+@pytest.mark.parametrize("name", ["comments-area", "sidebar", "ad-slot", "site-footer", "shareButtons", "related-posts", "newsletter-signup", "user_comments", "cookie-banner"])
+def test_names_of_parts_beside_the_text_cut(name):
+    other = f"<div class='{name}'><p>{PROSE} Other.</p></div>"
+    assert b.main_text(f"<p>{PROSE}</p><p>{PROSE}</p>{other}") == f"{PROSE}\n{PROSE}"
+
+
+def test_comments_longer_than_the_text_are_cut():
+    assert b.main_text(f"<p>{PROSE}</p><div class=comments>" + f"<p>{PROSE}</p>" * 9 + "</div>") == PROSE
