@@ -7,7 +7,10 @@ neither prose nor marked, stays open. The second pass gives an open block the la
 nearest decided blocks of the same part of the page; where they disagree, the nearer one counts.
 
 Where a page says what its article is (``article``, ``main``), only that part can be text, and
-open blocks without decided neighbours are kept there. Elsewhere they are dropped.
+open blocks without decided neighbours are kept there. Elsewhere they take the label of the
+nearest decided blocks of the enclosing part, or of the one around that, up to the page. Where
+no block of a page is text, as in languages without a list of stop words, length and link
+density alone decide: of each block or, where all are short, of the open ones taken together.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are
 joined by one line feed. Nothing is cut off.
@@ -275,41 +278,87 @@ def first_pass(block: Block, has_text_part: bool) -> bool | None:
     return True if _is_prose(block) else None
 
 
-def second_pass(blocks: list[Block]) -> None:
-    """Labels for the open blocks, from the nearest decided ones of their part."""
+def _nearest(members: list[Block]) -> list[tuple[tuple[int, bool] | None, tuple[int, bool] | None]]:
+    """Per block the place and label of the nearest decided blocks before and after it."""
+    n = len(members)
+    before: list[tuple[int, bool] | None] = [None] * n
+    after: list[tuple[int, bool] | None] = [None] * n
+    for found, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
+        near = None
+        for i in order:
+            found[i] = near
+            if members[i].label is not None:
+                near = (i, members[i].label)
+    return list(zip(before, after, strict=True))
+
+
+def _label(i: int, heading: bool, one: tuple[int, bool] | None, other: tuple[int, bool] | None) -> bool:
+    if one is None or other is None:
+        return (one or other)[1]
+    if i - one[0] != other[0] - i:
+        return min((i - one[0], one[1]), (other[0] - i, other[1]))[1]
+    # A heading belongs to what follows it; other text is rather kept.
+    return other[1] if heading else one[1] or other[1]
+
+
+def second_pass(blocks: list[Block], around: list[int] | None = None) -> None:
+    """Labels for the open blocks, from the nearest decided ones of their part or those around it."""
+    around = around or [0] * (max((b.part for b in blocks), default=0) + 1)
     parts: dict[int, list[Block]] = {}
     for block in blocks:
         parts.setdefault(block.part, []).append(block)
+    labels: list[tuple[Block, bool]] = []
     for members in parts.values():
-        n = len(members)
-        before: list[tuple[int, bool] | None] = [None] * n
-        after: list[tuple[int, bool] | None] = [None] * n
-        near = None
-        for i in range(n):
-            before[i] = near
-            if members[i].label is not None:
-                near = (i, members[i].label)
-        near = None
-        for i in range(n - 1, -1, -1):
-            after[i] = near
-            if members[i].label is not None:
-                near = (i, members[i].label)
-        found = []
-        for i, block in enumerate(members):
-            one, other = before[i], after[i]
-            if block.label is not None:
-                found.append(block.label)
-            elif one is None and other is None:
-                found.append(block.text_part)
-            elif one is None or other is None:
-                found.append((one or other)[1])
-            elif i - one[0] != other[0] - i:
-                found.append(min((i - one[0], one[1]), (other[0] - i, other[1]))[1])
-            else:
-                # A heading belongs to what follows it; other text is rather kept.
-                found.append(other[1] if block.heading else one[1] or other[1])
-        for block, label in zip(members, found, strict=True):
-            block.label = label
+        for i, (block, (one, other)) in enumerate(zip(members, _nearest(members), strict=True)):
+            if block.label is None and (one or other):
+                labels.append((block, _label(i, block.heading, one, other)))
+            elif block.label is None and block.text_part:
+                labels.append((block, True))
+    for block, label in labels:
+        block.label = label
+    _inherit([b for b in blocks if not b.outside], around)
+
+
+def _inherit(blocks: list[Block], around: list[int]) -> None:
+    """Labels for what is still open; a part's blocks and those of the parts in it are in a row."""
+    if all(b.label is not None for b in blocks):
+        return
+    first, last = [len(blocks)] * len(around), [-1] * len(around)
+    decided = [False] * len(around)
+    for i, block in enumerate(blocks):
+        first[block.part], last[block.part] = min(first[block.part], i), i
+        decided[block.part] |= block.label is not None
+    for part in range(len(around) - 1, 0, -1):
+        outer = around[part]
+        first[outer], last[outer] = min(first[outer], first[part]), max(last[outer], last[part])
+        decided[outer] |= decided[part]
+    # The innermost part around each that has a decided block.
+    source = list(range(len(around)))
+    for part in range(1, len(around)):
+        if not decided[part]:
+            source[part] = source[around[part]]
+    found = []
+    for i, (block, (one, other)) in enumerate(zip(blocks, _nearest(blocks), strict=True)):
+        low, high = first[source[block.part]], last[source[block.part]]
+        one, other = one if one and one[0] >= low else None, other if other and other[0] <= high else None
+        if block.label is not None:
+            found.append(block.label)
+        else:
+            found.append(_label(i, block.heading, one, other) if one or other else False)
+    for block, label in zip(blocks, found, strict=True):
+        block.label = label
+
+
+def without_prose(blocks: list[Block]) -> None:
+    """Where no block is text, the long open ones are or, if there are none, all of them together."""
+    if any(b.label for b in blocks):
+        return
+    still = [b for b in blocks if b.label is None]
+    long = [b for b in still if len(b.text) >= SHORT]
+    if not long and sum(len(b.text) for b in still) >= SHORT:
+        long = still
+    for block in long:
+        block.label = True
 
 
 def main_text(page: str | None) -> str:
@@ -320,7 +369,9 @@ def main_text(page: str | None) -> str:
     has_text_part = any(b.text_part and not b.outside for b in blocks)
     for block in blocks:
         block.label = first_pass(block, has_text_part)
-    second_pass(blocks)
+    if not has_text_part:
+        without_prose(blocks)
+    second_pass(blocks, found.around)
     return "\n".join(b.text for b in blocks if b.label)
 
 

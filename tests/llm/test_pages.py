@@ -108,3 +108,24 @@ def test_names_of_parts_beside_the_text_cut(name):
 
 def test_comments_longer_than_the_text_are_cut():
     assert b.main_text(f"<p>{PROSE}</p><div class=comments>" + f"<p>{PROSE}</p>" * 9 + "</div>") == PROSE
+
+
+FOREIGN = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<p>{PROSE}</p><table><tr><td>Year</td><td>1999</td></tr><tr><td>Price</td><td>12</td></tr></table>", f"{PROSE}\nYear\n1999\nPrice\n12"),
+        (f"<section><p>{PROSE}</p></section><section><h2>Hours</h2><p>Nine to five.</p></section>", f"{PROSE}\nHours\nNine to five."),
+        (f"<nav><a href=a>x</a></nav><h1>Otsikko</h1><p>{FOREIGN}</p><p>Lyhyt.</p><ul><li><a href=a>linkki</a></ul>", f"Otsikko\n{FOREIGN}\nLyhyt."),
+        ("<table>" + "<tr><td>Name of it</td><td>123456</td></tr>" * 9 + "</table><footer>f</footer>", "\n".join(["Name of it", "123456"] * 9)),
+        (f"<section><p>{PROSE}</p><section><p>In.</p></section></section><section><p><a href=a>link</a></p><section><p>Out.</p></section></section>", f"{PROSE}\nIn."),
+    ],
+)
+def test_open_blocks_ask_the_parts_around_theirs(page, text):
+    assert b.main_text(page) == text
+
+
+def test_parts_without_end():
+    assert b.main_text("<section>" * 5_000 + PROSE + "<section>Short." * 5_000).startswith(f"{PROSE}\nShort.")
