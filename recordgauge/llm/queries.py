@@ -11,6 +11,7 @@ from recordgauge.llm import (
     nn_descent,
     page_blocks,
     piece_language,
+    prefix_trie,
     pu_toxicity,
     quality_rules,
     secret_scan,
@@ -69,10 +70,26 @@ def op10_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_index.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_pu_toxicity, op2_quality_rules, op3_window_packing, op4_nn_descent, op5_source_mixing, op6_compression_quality, op7_page_blocks, op8_piece_language, op9_secret_scan, op10_simhash_index)
+    listed = (
+        op1_pu_toxicity,
+        op2_quality_rules,
+        op3_window_packing,
+        op4_nn_descent,
+        op5_source_mixing,
+        op6_compression_quality,
+        op7_page_blocks,
+        op8_piece_language,
+        op9_secret_scan,
+        op10_simhash_index,
+        op12_prefix_trie,
+    )
     return {query.__name__: query for query in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.oracle_sql()}
+    return {"op2_quality_rules": quality_rules.oracle_sql(), "op12_prefix_trie": prefix_trie.oracle_sql()}
