@@ -17,6 +17,8 @@ from recordgauge.llm import (
     secret_scan,
     simhash_index,
     source_mixing,
+    spelling_variants,
+    url_filter,
     window_packing,
 )
 
@@ -70,10 +72,18 @@ def op10_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_index.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op1_pu_toxicity,
@@ -86,7 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_piece_language,
         op9_secret_scan,
         op10_simhash_index,
+        op11_spelling_variants,
         op12_prefix_trie,
+        op13_url_filter,
     )
     return {query.__name__: query for query in listed}
 
