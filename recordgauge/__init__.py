@@ -5,7 +5,7 @@ from recordgauge.operators.annotate import annotate, missing_fields, vocabulary_
 from recordgauge.operators.gate import ContractViolation, assert_conforms, gate
 from recordgauge.operators.report import problem_report
 from recordgauge.operators.split import accepted, quarantined, read_split, split, write_split
-from recordgauge.operators.tally import counters, tally
+from recordgauge.operators.tally import tallied, tally
 from recordgauge.plans.conformance import check, check_and_keep
 from recordgauge.sources.events import read_events, spread, stream_events
 from recordgauge.streaming.annotated import write_split_stream
@@ -19,7 +19,6 @@ __all__ = [
     "assert_conforms",
     "check",
     "check_and_keep",
-    "counters",
     "gate",
     "missing_fields",
     "problem_report",
@@ -29,6 +28,7 @@ __all__ = [
     "split",
     "spread",
     "stream_events",
+    "tallied",
     "tally",
     "vocabulary_check",
     "write_split",

@@ -27,7 +27,8 @@ END_MARK = "9007199254740993"
 # number stays one and a leading zero stays wrong. No name or word of a contract has such a run.
 MAX_DIGITS = 300
 # Beyond these the parser refuses text that may be JSON: 1,000 levels, names of 50,000
-# characters. Its limits on strings (20 million) and whole values (128 MiB) are far above.
+# characters. Its limits on strings (20 million) and whole values (128 MiB) are far above. Such
+# text gets its verdict from ``token_fold``.
 MAX_LEVELS = 1_000
 MAX_NAME = 50_000
 
@@ -42,14 +43,16 @@ def _parse(text: Column) -> Column:
 def may_exceed_limits(text: Column) -> Column:
     """Whether a refused text may be JSON that the parser has limits against.
 
-    Only objects and arrays have levels and names. A text this long that is not JSON cannot be
-    told from one that is, without a parser, so both are reported alike.
+    All that it refuses for its limits is among these texts: objects, arrays and strings of more
+    than ``MAX_NAME`` bytes, and objects and arrays with more than ``MAX_LEVELS`` brackets.
     """
     space = F.lit(" \t\n\r")
-    opens = F.ltrim(text, space).startswith("{") & F.rtrim(text, space).endswith("}")
-    opens = opens | (F.ltrim(text, space).startswith("[") & F.rtrim(text, space).endswith("]"))
+    begins, ends = F.ltrim(text, space), F.rtrim(text, space)
+    nests = (begins.startswith("{") & ends.endswith("}")) | (begins.startswith("[") & ends.endswith("]"))
+    whole = nests | (begins.startswith('"') & ends.endswith('"'))
     levels = F.length(text) - F.length(F.translate(text, "[{", ""))
-    return F.coalesce(opens & ((F.octet_length(text) > MAX_NAME) | (levels > MAX_LEVELS)), F.lit(False))
+    may = (whole & (F.octet_length(text) > MAX_NAME)) | (nests & (levels > MAX_LEVELS))
+    return F.coalesce(may, F.lit(False))
 
 
 def _may_be_json(text: Column) -> Column:

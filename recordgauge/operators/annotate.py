@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from recordgauge.contract import DEFAULT, Contract
 from recordgauge.functions import rules, strict_json
+from recordgauge.functions.token_fold import read_tokens
 
 CHECKED = "checked"
 NOT_OBJECT = "not_object"
 MALFORMED = "malformed"
-OVER_LIMIT = "over_limit"
 
 _ADDED = ("status", "missing", "unknown_word", "problems", "valid")
 _FACTS = ("_missing", "_word_known")
-_INTERIM = ("_document", "_second_test", "_names", "_word", "_one_value")
+_INTERIM = ("_document", "_second_test", "_names", "_word", "_one_value", "_status", "_names_missing", "_known")
 
 
 def facts(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> DataFrame:
@@ -24,6 +24,8 @@ def facts(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> D
     Each text is parsed once, however the result is used. The facts leave through ``inline``
     of a one-element array: Catalyst moves filters below a projection and repeats the
     projection's expressions in them, here the parse, but it moves none below a generator.
+    A text that the parser refuses, and that may be JSON beyond its limits, is read token by
+    token, in a step of its own: that step has no generated code, the parse keeps its.
 
     Sets ``spark.sql.variant.allowDuplicateKeys`` in the session, so that of two equal names
     the last one counts; the plan keeps that whatever the setting is later.
@@ -37,8 +39,9 @@ def facts(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> D
     document, second_test = F.col("_document"), F.col("_second_test")
     names, word, one_value = F.col("_names"), F.col("_word"), F.col("_one_value")
 
+    # NULL where the text has to be read again.
     status = (
-        F.when(~one_value, F.when(strict_json.may_exceed_limits(text), OVER_LIMIT).otherwise(MALFORMED))
+        F.when(~one_value, F.when(~strict_json.may_exceed_limits(text), MALFORMED))
         .when(names.isNotNull() | strict_json.opens_array(text), CHECKED)
         .otherwise(NOT_OBJECT)
     )
@@ -59,13 +62,39 @@ def facts(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> D
             F.inline(
                 F.array(
                     F.struct(
-                        status.alias("status"),
-                        rules.missing_names(contract, names).alias("_missing"),
-                        rules.in_vocabulary(contract, word).alias("_word_known"),
+                        status.alias("_status"),
+                        rules.missing_names(contract, names).alias("_names_missing"),
+                        rules.in_vocabulary(contract, word).alias("_known"),
                     )
                 )
             ),
         )
+        .select(*carried, F.inline(_decided(text, contract)))
+    )
+
+
+def _decided(text: Column, contract: Contract) -> Column:
+    """The facts as they are, or read from the text's tokens if the parser has not told."""
+    parsed = F.array(
+        F.struct(
+            F.col("_status").alias("status"),
+            F.col("_names_missing").alias("_missing"),
+            F.col("_known").alias("_word_known"),
+        )
+    )
+
+    def judged(read: Column) -> Column:
+        status = (
+            F.when(~read["is_json"], MALFORMED).when(read["first"].isin("{", "["), CHECKED).otherwise(NOT_OBJECT)
+        )
+        return F.struct(
+            status.alias("status"),
+            rules.missing_names(contract, read["names"]).alias("_missing"),
+            rules.in_vocabulary(contract, read["word"]).alias("_word_known"),
+        )
+
+    return F.when(F.col("_status").isNotNull(), parsed).otherwise(
+        F.transform(F.array(read_tokens(text, contract)), judged)
     )
 
 
@@ -87,10 +116,9 @@ def vocabulary_check(df: DataFrame, contract: Contract = DEFAULT, json_col: str
 def annotate(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> DataFrame:
     """Add ``status``, ``problems`` and ``valid``; works on batch and streaming frames.
 
-    ``status`` is ``checked``, ``not_object`` (JSON, but neither object nor array),
-    ``malformed`` (not one JSON value, or NULL) or ``over_limit`` (refused, but so deep or so
-    long that it may be one beyond the parser's limits). ``problems`` and ``valid`` are NULL
-    unless the record was checked.
+    ``status`` is ``checked``, ``not_object`` (JSON, but neither object nor array) or
+    ``malformed`` (not one JSON value, or NULL), at any depth and length. ``problems`` and
+    ``valid`` are NULL unless the record was checked.
     """
     checked = _is_checked()
     missing, word_known = F.col("_missing"), F.col("_word_known")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from recordgauge.contract import DEFAULT, Contract
-from recordgauge.operators.tally import problem_counters, report_rows
+from recordgauge.operators.tally import problem_counts
 
 
 def problem_report(annotated: DataFrame, contract: Contract = DEFAULT) -> DataFrame:
     """``problem, n_records, n_occurrences``; the two differ where a list names it twice.
 
-    ``contract`` is the one the records were annotated with. The report is a fixed number of
-    counters over all records, so each task sends one row however the problems combine.
+    ``contract`` is the one the records were annotated with. Each task sends one row for each
+    name at most.
     """
-    return report_rows(annotated.agg(*problem_counters(contract)), contract)
+    return problem_counts(annotated, contract)

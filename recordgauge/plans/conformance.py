@@ -10,12 +10,12 @@ from recordgauge.contract import DEFAULT, Contract
 from recordgauge.operators.annotate import annotate
 from recordgauge.operators.gate import gate_row
 from recordgauge.operators.split import read_split, write_split
-from recordgauge.operators.tally import counters, report_rows
+from recordgauge.operators.tally import gate_counts, report_rows, tallied
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """Gate and report of one check, and the row of counters both are made from."""
+    """Gate and report of one check, and the counts both are made from."""
 
     counts: DataFrame
     gate: DataFrame
@@ -23,11 +23,11 @@ class Outcome:
 
 
 def _outcome(annotated: DataFrame, contract: Contract) -> Outcome:
-    # One row whose width is the contract's: fetched, so that it takes one pass over the
-    # records and nothing is left behind.
-    counted = counters(annotated, contract)
-    kept = annotated.sparkSession.createDataFrame([tuple(counted.first())], counted.schema)
-    return Outcome(kept, gate_row(kept), report_rows(kept, contract))
+    # A row for each name of the contract and each verdict: fetched, so that it takes one pass
+    # over the records and nothing is left behind.
+    counted = tallied(annotated, contract)
+    kept = annotated.sparkSession.createDataFrame([tuple(r) for r in counted.collect()], counted.schema)
+    return Outcome(kept, gate_row(gate_counts(kept)), report_rows(kept))
 
 
 def check(df: DataFrame, contract: Contract = DEFAULT, json_col: str = "v") -> Outcome:

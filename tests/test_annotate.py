@@ -2,9 +2,11 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordgauge import DEFAULT, Contract, annotate
 from recordgauge.functions.strict_json import END_MARK
+from recordgauge.functions.token_fold import read_tokens
 from tests.truth import model, truth_table
 
 GOOD = {"event_id": "e", "kind": "CLAIM_REPLAYED", "occurred_at": "t", "subject_id": "s", "payload": {}}
@@ -94,9 +96,8 @@ def test_long_tokens_are_json(spark):
         json.dumps({**GOOD, "payload": "x" * 21_000_000}),
         json.dumps({**GOOD, "payload": "x" * 21_000_000}) + "}",
     ]
-    # Strings of over 20 million characters are beyond the parser; whether more is wrong with the
-    # text cannot be told then.
-    assert verdicts(spark, texts) == [("checked", [])] * 2 + [("over_limit", None)] * 2
+    # Strings of over 20 million characters are beyond the parser.
+    assert verdicts(spark, texts) == [("checked", [])] * 3 + [("malformed", None)]
 
 
 def test_white_space_around_records(spark):
@@ -127,10 +128,11 @@ def test_deep_text_neither_fails_nor_recurses(spark):
     assert got[0] == ("checked", ["event_id", "occurred_at", "subject_id", "payload", "kind"])
     assert got[1] == ("checked", ["event_id", "kind", "occurred_at", "subject_id", "kind"])
     assert got[2] == ("malformed", None)
-    assert got[3] == ("over_limit", None)  # over the parser's 1,000 levels
+    # Over the parser's 1,000 levels.
+    assert got[3] == ("checked", ["event_id", "kind", "occurred_at", "subject_id", "payload", "kind"])
 
 
-def test_text_beyond_the_limits_is_not_called_malformed(spark):
+def test_text_beyond_the_limits_is_judged(spark):
     long_name, deep = "n" * 60_000, "[" * 1_500 + "]" * 1_500
     texts = [
         json.dumps({**GOOD, long_name: 1}),
@@ -140,12 +142,70 @@ def test_text_beyond_the_limits_is_not_called_malformed(spark):
         "{" + "x" * 60_000,
         json.dumps({**GOOD, "x": "n" * 60_000}),
         json.dumps({**GOOD, "x": "y" * 60_000})[:-1],
+        "{" + "word " * 20_000 + "}",
+        '"' + "s" * 21_000_000 + '"',
+        '"' + "s" * 60_000 + '" "' + '"',
     ]
-    assert [s for s, _ in verdicts(spark, texts)] == [
-        "over_limit", "over_limit", "over_limit", "malformed", "malformed", "checked", "malformed",
+    every = [*DEFAULT.required, "kind"]
+    assert verdicts(spark, texts) == [
+        ("checked", []), ("checked", []), ("checked", every), ("malformed", None), ("malformed", None),
+        ("checked", []), ("malformed", None), ("malformed", None), ("not_object", None), ("malformed", None),
     ]
 
 
+def _read_by_tokens(spark, texts, contract=DEFAULT):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    facts = read_tokens(F.col("v"), contract).alias("r")
+    return [r.r for r in df.select("i", facts).orderBy("i").collect()]
+
+
+def test_tokens_agree_with_the_truth_table(spark):
+    """The reader of long texts judges short ones as the parser does."""
+    table = [t for t in truth_table() if t["v"] is not None]
+    for t, read in zip(table, _read_by_tokens(spark, [t["v"] for t in table]), strict=True):
+        assert read.is_json == (t["status"] != "malformed"), t["case"]
+        if t["status"] == "checked":
+            missing = [n for n in DEFAULT.required if n not in read.names]
+            assert missing + ([] if read.word in DEFAULT.vocab else ["kind"]) == t["problems"], t["case"]
+
+
+def test_tokens_agree_with_the_model(spark):
+    rng = random.Random(7)
+    parts = ["{", "}", "[", "]", ",", ":", '"kind"', '"CATALOG_FROZEN"', '"event_id"', "1", "-0.5e+3", "01", "true",
+             "null", " ", "\n", '"\\u006bind"', '"\\x"', '"a b"', "x", '"']
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(3_000)]
+    texts += ['{"kind":' + "".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) + "}" for _ in range(3_000)]
+    texts += [_nested(rng, 4) for _ in range(500)]
+    for text, read in zip(texts, _read_by_tokens(spark, texts), strict=True):
+        status, problems = model(text)
+        assert read.is_json == (status != "malformed"), text
+        if status == "checked":
+            missing = [n for n in DEFAULT.required if n not in read.names]
+            assert missing + ([] if read.word in DEFAULT.vocab else ["kind"]) == problems, text
+
+
+def _nested(rng, levels):
+    if not levels or rng.random() < 0.2:
+        return rng.choice(["1", '"kind"', "null", '"[{"'])
+    inner = [_nested(rng, levels - 1) for _ in range(rng.randint(0, 3))]
+    if rng.random() < 0.5:
+        return "[" + ",".join(inner) + "]"
+    return "{" + ",".join(f'"{rng.choice(["kind", "event_id", "payload", "x"])}":{v}' for v in inner) + "}"
+
+
+def test_deep_records_at_the_edges_of_the_stack(spark):
+    good = json.dumps(GOOD)[:-1]
+    texts = []
+    for n in (59, 60, 61, 119, 120, 121, 1_100, 1_320):
+        deep = '{"a":[' * n + "]}" * n
+        texts += [f'{good},"x":{deep}}}', f'{good},"x":{deep[:-1]}]}}', f'{good},"x":{deep},"kind":1}}']
+    reads = _read_by_tokens(spark, texts)
+    assert [r.is_json for r in reads] == [True, False, True] * 8
+    assert all(sorted(r.names) == sorted(DEFAULT.required) for r in reads[::3])
+    assert [r.word for r in reads[::3]] == ["CLAIM_REPLAYED"] * 8 and [r.word for r in reads[2::3]] == [None] * 8
+    assert verdicts(spark, texts) == [("checked", []), ("malformed", None), ("checked", ["kind"])] * 8
+
+
 def test_numbers_of_any_length(spark):
     digits = "7" * 5_000
     values = [digits, "-" + digits, f"0.{digits}", f"{digits}.{digits}e-{digits}", "0" + digits, digits + "x", f"[{digits},{digits}]"]
