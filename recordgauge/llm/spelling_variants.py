@@ -8,14 +8,14 @@ a small box around its vector. Boxes that hold no such vector are pruned; the wo
 are compared letter by letter.
 
 **Two levels of one tree.** The upper level divides each length's words into parts. Its splits
-are fitted to a sample of at most ``SAMPLE`` words, so it has a bounded number of parts
+are fitted to a hash sample of about ``SAMPLE`` words, so it has a bounded number of parts
 (``SAMPLE`` / ``PART_SAMPLE``), and any word, in the sample or not, belongs to exactly one part. A
 word looks in all parts whose box its edits can reach. A part of more than ``BLOCK`` words, or
 ``BLOCK_LETTERS`` letters, is dealt by hash to several blocks (anagrams have equal vectors, and
 no split parts them), and the words that look in it look in all its blocks. In a task a
 block's words make the lower level, a tree with tight boxes in numpy; the words that look in it
-stream past in batches, dealt by hash to ``SHARES`` tasks that each have the block. Nothing is left
-out: the sample decides only where the work is done.
+stream past in batches, dealt by hash to one task for every ``SHARE`` words of the block, each of
+which has the block. Nothing is left out: the sample decides only where the work is done.
 
 A block sends a word's number of near words and the best of them, not pairs. Forms are followed
 to their roots by pointer jumping; as a form occurs at least twice as often as its word, chains
@@ -52,7 +52,7 @@ PART_SAMPLE = 50
 PART = 32_768
 BLOCK = 65_536
 BLOCK_LETTERS = 1 << 22
-SHARES = 4
+SHARE = 8_192
 LEAF = 32
 
 # By how much longer the words looked for are: most raised and most lowered letter counts.
@@ -342,9 +342,10 @@ def _best(tree: Tree, own: list[str], n: list[int], words: list[str]) -> list[tu
 def near_words(words: DataFrame, sample: int = SAMPLE, part: int = PART, block: int = BLOCK) -> DataFrame:
     """(word, n_near, best_n, best) for each of ``words`` (word, n) that has a near word."""
     sized = words.select("word", "n", F.length("word").alias("length"))
-    # Bounded by ``sample``; ordered by a hash, so that it is the same whatever the partitions.
-    taken = sized.orderBy(F.xxhash64("word")).limit(sample).select("word", "length").toPandas()
     total = words.count()
+    # About ``sample`` words whatever the total; by a hash, so that partitions do not matter.
+    drawn = F.pmod(F.xxhash64("word"), F.lit(-(-total // sample) or 1)) == 0
+    taken = sized.where(drawn).select("word", "length").toPandas()
     trees: dict[int, list[tuple]] = {}
     for length, some in taken.groupby("length"):
         wanted = round(len(some) / max(1, len(taken)) * total / part)
@@ -382,15 +383,18 @@ def near_words(words: DataFrame, sample: int = SAMPLE, part: int = PART, block:
     placed, path = staged(sized.mapInArrow(part_rows, "word string, n long, length int, part int"), "spelling-parts")
     at = ["length", "part"]
     letters = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_LETTERS) / F.col("length"))))
-    blocks = placed.groupBy(*at).agg(F.count(F.lit(1)).alias("size")).select(*at, F.ceil(F.col("size") / letters).cast("int").alias("blocks"))
-    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    blocks = placed.groupBy(*at).agg(F.count(F.lit(1)).alias("size")).select(
+        *at, "size", F.ceil(F.col("size") / letters).cast("int").alias("blocks")
+    )
+    blocks = blocks.select(*at, "blocks", F.ceil(F.col("size") / F.col("blocks") / SHARE).cast("int").alias("shares"))
+    shares = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
     own = placed.join(blocks, at).select(
         *at, F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int").alias("salt"), shares.alias("share"), F.lit(0).alias("looks"), "word", "n"
     )
     looking = (
         placed.select("word").mapInArrow(look_rows, "length int, part int, word string")
         .join(blocks, at)
-        .select(*at, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.pmod(F.xxhash64("word", F.lit(1)), F.lit(SHARES)).cast("int").alias("share"), F.lit(1).alias("looks"), "word", F.lit(0).cast("long").alias("n"))
+        .select(*at, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.pmod(F.xxhash64("word", F.lit(1)), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("looks"), "word", F.lit(0).cast("long").alias("n"))
     )
     block_at = ("length", "part", "salt", "share")
     found = (
