@@ -348,15 +348,23 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(_drained(spark, annotate(arriving, USAGE)))
 
 
+def stream_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, a file to a batch, with closed batches merged as the stream goes on."""
+    path = scratch_path(spark, "lines")
+    _usage(spark, sf_dir).select("v").repartition(8).write.text(path)
+    arriving = stream_events(spark, path, max_files_per_trigger=1)
+    return _verdicts(_drained(spark, annotate(arriving, USAGE), fan_in=3))
+
+
 def _usage_lines(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "lines")
     _usage(spark, sf_dir).select("v").write.text(path)
     return path
 
 
-def _drained(spark: SparkSession, annotated: DataFrame) -> DataFrame:
+def _drained(spark: SparkSession, annotated: DataFrame, fan_in: int | None = None) -> DataFrame:
     path = scratch_path(spark, "stream")
-    query = write_split_stream(annotated, path, scratch_path(spark, "progress"), available_now=True)
+    query = write_split_stream(annotated, path, scratch_path(spark, "progress"), available_now=True, fan_in=fan_in)
     query.awaitTermination()
     return read_split(spark, path, annotated.schema)
 
@@ -401,6 +409,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         read_documents,
         stream_annotate,
         stream_lines,
+        stream_compacted,
     )
     found = {query.__name__: query for query in listed}
     corpus, pipeline = _optional("recordgauge.llm.queries"), _optional("corpus_pipeline")
@@ -547,6 +556,7 @@ FROM a GROUP BY origin, status""",
         + _REPORT,
         "stream_annotate": f"{default} SELECT event_id, {_SHOWN} FROM a",
         "stream_lines": usage + _VERDICTS,
+        "stream_compacted": usage + _VERDICTS,
     }
     corpus, pipeline = _optional("recordgauge.llm.queries"), _optional("corpus_pipeline")
     if corpus:

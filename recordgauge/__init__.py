@@ -9,6 +9,7 @@ from recordgauge.operators.tally import tallied, tally
 from recordgauge.plans.conformance import check, check_and_keep
 from recordgauge.sources.events import read_events, spread, stream_events
 from recordgauge.streaming.annotated import write_split_stream
+from recordgauge.streaming.compaction import compact
 
 __all__ = [
     "DEFAULT",
@@ -19,6 +20,7 @@ __all__ = [
     "assert_conforms",
     "check",
     "check_and_keep",
+    "compact",
     "gate",
     "missing_fields",
     "problem_report",

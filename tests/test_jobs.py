@@ -1,6 +1,7 @@
 import json
 import os
 import re
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from recordgauge import (
     assert_conforms,
     check,
     check_and_keep,
+    compact,
     gate,
     missing_fields,
     problem_report,
@@ -29,6 +31,7 @@ from recordgauge import (
     write_split,
     write_split_stream,
 )
+from recordgauge.operators.split import listed_batches
 from recordgauge.plans.scratch import discard, scratch_path, staged
 from tests.test_annotate import SAMPLE
 from tests.truth import truth_table
@@ -403,6 +406,85 @@ def test_stream_continues_without_doubling(spark, tmp_path):
     assert not any("_spark_metadata" in d for d, _, _ in os.walk(out))
 
 
+def _batches(spark, out, n, first=0):
+    """Directories as a stream writes them: batch i has one good record and i broken ones."""
+    for i in range(first, first + n):
+        rows = spark.createDataFrame([(i, GOOD)] + [(i, "{")] * (i % 3), "i int, v string").coalesce(1)
+        annotate(rows).write.partitionBy("status", "valid").parquet(f"{out}/stream_batch={i}")
+
+
+def _directories(out):
+    return sorted(d for d in os.listdir(out) if not d.startswith((".", "_")))
+
+
+def test_compaction_of_200_batches(spark, tmp_path):
+    out = str(tmp_path / "out")
+    _batches(spark, out, 3)
+    for i in range(3, 200):
+        shutil.copytree(f"{out}/stream_batch={i % 3}", f"{out}/stream_batch={i}")
+    schema = annotate(spark.createDataFrame([(0, GOOD)], "i int, v string")).schema
+
+    def rows():
+        return sorted(tuple(r) for r in read_split(spark, out, schema).groupBy("i", "status", "valid").count().fillna(False).collect())
+
+    before = rows()
+    made = compact(spark, out, 8)
+    # 24 of 8, three of 64, and what is not due: batches 192 to 199, of which the last is open.
+    assert made[-1] == "stream_batch=128-191" and len(made) == 27
+    assert rows() == before
+    read = read_split(spark, out)
+    assert len({f.split("stream_batch=")[1].split("/")[0] for f in read.inputFiles()}) == 3 + 8
+    # Whoever listed before still finds the parts; the next call takes them away.
+    assert len(_directories(out)) == 200 + 27
+    assert compact(spark, out, 8) == [] and rows() == before
+    assert len(_directories(out)) == 3 + 8
+    # Closed by the next batch.
+    shutil.copytree(f"{out}/stream_batch=199", f"{out}/stream_batch=200")
+    assert compact(spark, out, 8) == ["stream_batch=192-199"]
+
+
+def test_a_cut_off_compaction_is_made_again(spark, tmp_path):
+    out = str(tmp_path / "out")
+    _batches(spark, out, 4)
+    shutil.copytree(f"{out}/stream_batch=0", f"{out}/_compacting-x")
+    assert read_split(spark, out).count() == 4 + 1 + 2
+    assert compact(spark, out, 3) == ["stream_batch=0-2"]
+    assert read_split(spark, out).count() == 4 + 1 + 2
+    assert "_compacting-x" not in os.listdir(out)
+    with pytest.raises(ValueError):
+        compact(spark, out, 1)
+
+
+def test_stream_compacts_and_a_repeated_batch_replaces_itself(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    for i in range(5):
+        (source / f"{i}.jsonl").write_text((GOOD + "\n") * (i + 1))
+
+    def run():
+        annotated = annotate(stream_events(spark, str(source), max_files_per_trigger=1))
+        query = write_split_stream(annotated, out, progress, available_now=True, fan_in=2)
+        query.awaitTermination()
+        return read_split(spark, out, annotated.schema).count()
+
+    assert run() == 15
+    for name in ("4", ".4.crc"):
+        if os.path.exists(os.path.join(progress, "commits", name)):
+            os.remove(os.path.join(progress, "commits", name))
+    assert run() == 15
+    assert listed_batches(os.listdir(out)).live[-1].name == "stream_batch=4"
+    # Set back further, the merged batches would be doubled.
+    for name in os.listdir(os.path.join(progress, "commits")):
+        if name.lstrip(".").split(".")[0] in "1234":
+            os.remove(os.path.join(progress, "commits", name))
+    for name in os.listdir(os.path.join(progress, "offsets")):
+        if name.lstrip(".").split(".")[0] in "234":
+            os.remove(os.path.join(progress, "offsets", name))
+    with pytest.raises(Exception, match="has been merged"):
+        run()
+
+
 def test_stream_of_documents(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
