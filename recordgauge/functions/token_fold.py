@@ -2,10 +2,10 @@
 
 Spark's JSON parser has limits on nesting levels, lengths of names and strings, and sizes of
 values. What it refuses only for these is read here with built-in functions that have none: a
-regular expression cuts the text into tokens, and one fold over them follows the grammar. The
-kinds of the open objects and arrays are kept as bits, ``STACK_BITS`` to a number, so that a level
-costs a bit and a step does not copy the levels below. Possessive quantifiers keep the
-expression from recursing.
+regular expression cuts the text into tokens, and one fold over them follows the grammar by a
+table. The kinds of the open objects and arrays are kept as bits, ``STACK_BITS`` to a number, so
+that a level costs a bit and a step does not copy the levels below. Possessive quantifiers keep
+the expression from recursing.
 
 The fold also keeps what a contract asks of the top level: which of its names the object has and
 the last value of its vocabulary field.
@@ -25,28 +25,51 @@ _STRING = r'"(?:[^"\\\x00-\x1F]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
 _NUMBER = r"-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+"
 _TOKEN = rf"(?s){_STRING}|{_NUMBER}|true|false|null|[ \t\n\r]++|."
 
-# Kinds of tokens beyond the six structural characters, which stand for themselves.
-_TEXT, _SCALAR, _SPACE, _BAD = "s", "v", " ", "!"
+# Kinds of tokens.
+_OPEN_OBJECT, _CLOSE_OBJECT, _OPEN_ARRAY, _CLOSE_ARRAY, _COMMA, _COLON, _TEXT, _SCALAR, _SPACE, _BAD = range(10)
+_N_KINDS = _SPACE  # of those that the grammar sees
+# The first characters of tokens, with their kinds. A quote, a sign or a letter alone is bad.
+_FIRST = (*zip("{}[],:", range(6), strict=True), ('"', _TEXT), *((c, _SCALAR) for c in "-tfn0123456789"), *((c, _SPACE) for c in " \t\n\r"))
+_ALONE_BAD = '"-tfn'
 
-# What the grammar expects next.
-_FAILED = -1
-_VALUE = 0
-_VALUE_OR_END = 1  # after [
-_NAME_OR_END = 2  # after {
-_NAME = 3  # after a comma in an object
-_COLON = 4
-_AFTER_VALUE = 5
+# What the grammar expects next. Only an opening bracket leads to the second and third.
+_VALUE, _VALUE_OR_END, _NAME_OR_END, _NAME, _COLON_NEXT, _AFTER_VALUE, _FAILED = range(7)
+# The innermost open one.
+_NOTHING, _ARRAY, _OBJECT = range(3)
+
+
+def _following(expects: int, inner: int, kind: int) -> int:
+    if expects in (_VALUE, _VALUE_OR_END):
+        if kind in (_TEXT, _SCALAR) or (kind == _CLOSE_ARRAY and expects == _VALUE_OR_END):
+            return _AFTER_VALUE
+        return {_OPEN_OBJECT: _NAME_OR_END, _OPEN_ARRAY: _VALUE_OR_END}.get(kind, _FAILED)
+    if expects in (_NAME_OR_END, _NAME):
+        if kind == _CLOSE_OBJECT and expects == _NAME_OR_END:
+            return _AFTER_VALUE
+        return _COLON_NEXT if kind == _TEXT else _FAILED
+    if expects == _COLON_NEXT:
+        return _VALUE if kind == _COLON else _FAILED
+    if expects == _AFTER_VALUE and inner != _NOTHING:
+        if kind == _COMMA:
+            return _NAME if inner == _OBJECT else _VALUE
+        if kind == (_CLOSE_OBJECT if inner == _OBJECT else _CLOSE_ARRAY):
+            return _AFTER_VALUE
+    return _FAILED
+
+
+_GRAMMAR = [_following(e, i, k) for e in range(_FAILED + 1) for i in range(3) for k in range(_N_KINDS)]
+
+
+def _numbers(values: list[int]) -> Column:
+    return F.expr(f"array({','.join(map(str, values))})")
 
 
 def _kind(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
-    return (
-        F.when(first == '"', F.when(F.length(token) > 1, _TEXT).otherwise(_BAD))
-        .when(first.isin(*" \t\n\r"), _SPACE)
-        .when(first.isin(*"{}[]:,"), first)
-        .when(first.isin(*"0123456789") | (F.length(token) > 1), _SCALAR)
-        .otherwise(_BAD)
-    )
+    characters = "".join(c for c, _ in _FIRST)
+    alone = [_BAD, *(_BAD if c in _ALONE_BAD else kind for c, kind in _FIRST)]
+    longer = [_BAD, *(kind for _, kind in _FIRST)]
+    place = F.instr(F.lit(characters), F.substring(token, 1, 1)) + 1
+    return F.element_at(_numbers(alone + longer), F.when(F.length(token) > 1, place + len(alone)).otherwise(place))
 
 
 def _decoded(token: Column, longest: int) -> Column:
@@ -59,75 +82,58 @@ def _decoded(token: Column, longest: int) -> Column:
 
 
 def _step(contract: Contract, state: Column, token: Column) -> Column:
-    kind, text = token["kind"], token["text"]
-    expects, top, size, below = state["expects"], state["top"], state["size"], state["below"]
-    # The innermost open one: 1 an object, 0 an array, NULL none.
-    inner = F.when(size > 0, top % 2).otherwise(F.try_element_at(below, F.lit(-1)) % 2)
-    can_be_value = expects.isin(_VALUE, _VALUE_OR_END)
-    after = expects == _AFTER_VALUE
-    following = (
-        F.when(expects == _FAILED, expects)
-        .when(kind == _TEXT, F.when(can_be_value, _AFTER_VALUE).when(expects.isin(_NAME_OR_END, _NAME), _COLON))
-        .when(kind == _SCALAR, F.when(can_be_value, _AFTER_VALUE))
-        .when(kind == ":", F.when(expects == _COLON, _VALUE))
-        .when(kind == ",", F.when(after & (inner == 1), _NAME).when(after & (inner == 0), _VALUE))
-        .when(kind == "{", F.when(can_be_value, _NAME_OR_END))
-        .when(kind == "[", F.when(can_be_value, _VALUE_OR_END))
-        .when(kind == "}", F.when((expects == _NAME_OR_END) | (after & (inner == 1)), _AFTER_VALUE))
-        .when(kind == "]", F.when((expects == _VALUE_OR_END) | (after & (inner == 0)), _AFTER_VALUE))
-    )
-    following = F.coalesce(following, F.lit(_FAILED))
-
-    lives = following != _FAILED
-    opens, closes = lives & kind.isin("{", "["), lives & kind.isin("}", "]")
-    full, empty = size == STACK_BITS, size == 0
-    bit = F.when(kind == "{", 1).otherwise(0).cast("bigint")
-    taken = F.when(empty, F.try_element_at(below, F.lit(-1))).otherwise(top)
-
-    top_level = (F.size(below) == 0) & (size == 1) & (top == 1)
-    is_name = top_level & (kind == _TEXT) & expects.isin(_NAME_OR_END, _NAME)
-    is_value = top_level & (expects == _VALUE)
-    longest = max(map(len, (*contract.required, contract.vocab_field, *contract.vocab)))
     known = [*dict.fromkeys((*contract.required, contract.vocab_field))]
-    name = F.when(is_name, _decoded(text, longest)).otherwise(state["name"])
-    listed = is_name & F.coalesce(name.isin(*known), F.lit(False))
-    is_word = is_value & F.coalesce(state["name"] == contract.vocab_field, F.lit(False))
-    return F.struct(
-        following.cast("int").alias("expects"),
-        F.when(opens, F.when(full, bit).otherwise(top * 2 + bit))
-        .when(closes, F.shiftright(taken, 1))
-        .otherwise(top)
-        .alias("top"),
-        F.when(opens, F.when(full, 1).otherwise(size + 1))
-        .when(closes, F.when(empty, STACK_BITS - 1).otherwise(size - 1))
-        .otherwise(size)
-        .cast("int")
-        .alias("size"),
-        F.when(opens & full, F.array_append(below, top))
-        .when(closes & empty, F.slice(below, F.lit(1), F.greatest(F.size(below) - 1, F.lit(0))))
-        .otherwise(below)
-        .alias("below"),
-        name.alias("name"),
-        F.when(listed & ~F.array_contains(state["names"], name), F.array_append(state["names"], name))
-        .otherwise(state["names"])
-        .alias("names"),
-        F.when(is_word, F.when(kind == _TEXT, _decoded(text, longest))).otherwise(state["word"]).alias("word"),
-    )
+    expects, inner, top, size, below = (state[n] for n in ("expects", "inner", "top", "size", "below"))
+    following = F.element_at(_numbers(_GRAMMAR), (expects * 3 + inner) * _N_KINDS + token["kind"] + 1)
+
+    def moved(following: Column) -> Column:
+        opens = following.isin(_VALUE_OR_END, _NAME_OR_END)
+        closes = (following == _AFTER_VALUE) & token["kind"].isin(_CLOSE_OBJECT, _CLOSE_ARRAY)
+        # ``top`` and ``below`` are the open ones around the innermost, the outermost's being nothing.
+        bit = (inner == _OBJECT).cast("bigint")
+        full, empty = size == STACK_BITS, size == 0
+        around = F.when(empty, F.try_element_at(below, F.lit(-1))).otherwise(top)
+        left = F.when(empty, F.lit(STACK_BITS)).otherwise(size) - 1
+        outermost = (size == 1) & (F.size(below) == 0)
+        is_value = (expects == _VALUE) & (inner == _OBJECT) & outermost & state["name"].isNotNull()
+        return F.struct(
+            following.alias("expects"),
+            F.when(opens, following)
+            .when(closes, F.when(outermost, _NOTHING).otherwise((around.bitwiseAND(F.lit(1)) + 1).cast("int")))
+            .otherwise(inner)
+            .alias("inner"),
+            F.when(opens, F.when(full, bit).otherwise(top * 2 + bit)).when(closes, F.shiftright(around, 1)).otherwise(top).alias("top"),
+            F.when(opens, F.when(full, 1).otherwise(size + 1)).when(closes, left).otherwise(size).alias("size"),
+            F.when(opens & full, F.array_append(below, top))
+            .when(closes & empty, F.slice(below, F.lit(1), F.size(below) - 1))
+            .otherwise(below)
+            .alias("below"),
+            F.when((following == _COLON_NEXT) & outermost, F.when(token["text"].isin(*known), token["text"]))
+            .otherwise(state["name"])
+            .alias("name"),
+            F.when(is_value, F.array_union(state["names"], F.array(state["name"]))).otherwise(state["names"]).alias("names"),
+            F.when(is_value & (state["name"] == contract.vocab_field), token["text"]).otherwise(state["word"]).alias("word"),
+        )
+
+    # As an element, so that the table is asked once.
+    return F.when(expects == _FAILED, state).otherwise(F.transform(F.array(following), moved)[0])
 
 
 def read_tokens(text: Column, contract: Contract) -> Column:
-    """``is_json``, ``first`` (the first token's kind), ``names`` (those of the contract that
+    """``is_json``, ``nests`` (it is an object or array), ``names`` (those of the contract that
     the object has) and ``word`` (the vocabulary field's last value, if a string)."""
+    longest = max(map(len, (*contract.required, contract.vocab_field, *contract.vocab)))
     tokens = F.filter(
         F.transform(
             F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)),
-            lambda t: F.struct(_kind(t).alias("kind"), t.alias("text")),
+            lambda t: F.struct(_kind(t).alias("kind"), F.when(t.startswith('"'), _decoded(t, longest)).alias("text")),
         ),
         lambda t: t["kind"] != _SPACE,
     )
     none, no_text = F.array().cast("array<string>"), F.lit(None).cast("string")
     start = F.struct(
         F.lit(_VALUE).alias("expects"),
+        F.lit(_NOTHING).alias("inner"),
         F.lit(0).cast("bigint").alias("top"),
         F.lit(0).alias("size"),
         F.array().cast("array<bigint>").alias("below"),
@@ -136,25 +142,23 @@ def read_tokens(text: Column, contract: Contract) -> Column:
         no_text.alias("word"),
     )
 
-    def result(is_json: Column, tokens: Column, names: Column, word: Column) -> Column:
-        first = F.try_element_at(tokens, F.lit(1))["kind"]
-        return F.struct(is_json.alias("is_json"), first.alias("first"), names.alias("names"), word.alias("word"))
-
     def read(tokens: Column) -> Column:
+        nests = F.coalesce(F.try_element_at(tokens, F.lit(1))["kind"].isin(_OPEN_OBJECT, _OPEN_ARRAY), F.lit(False))
         followed = F.aggregate(
             tokens,
             start,
             lambda state, token: _step(contract, state, token),
-            lambda end: result(
-                (end["expects"] == _AFTER_VALUE) & (end["size"] == 0) & (F.size(end["below"]) == 0),
-                tokens,
-                end["names"],
-                end["word"],
+            lambda end: F.struct(
+                ((end["expects"] == _AFTER_VALUE) & (end["inner"] == _NOTHING)).alias("is_json"),
+                nests.alias("nests"),
+                end["names"].alias("names"),
+                end["word"].alias("word"),
             ),
         )
         # Most text that is not JSON has a character that no token allows, and is not followed.
         bad = F.exists(tokens, lambda t: t["kind"] == _BAD)
-        return F.when(bad, result(F.lit(False), tokens, none, no_text)).otherwise(followed)
+        refused = F.struct(F.lit(False).alias("is_json"), nests.alias("nests"), none.alias("names"), no_text.alias("word"))
+        return F.when(bad, refused).otherwise(followed)
 
     # As an element, so that the tokens are made once.
     return F.transform(F.array(tokens), read)[0]

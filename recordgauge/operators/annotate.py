@@ -85,7 +85,7 @@ def _decided(text: Column, contract: Contract) -> Column:
 
     def judged(read: Column) -> Column:
         status = (
-            F.when(~read["is_json"], MALFORMED).when(read["first"].isin("{", "["), CHECKED).otherwise(NOT_OBJECT)
+            F.when(~read["is_json"], MALFORMED).when(read["nests"], CHECKED).otherwise(NOT_OBJECT)
         )
         return F.struct(
             status.alias("status"),
