@@ -2,15 +2,17 @@
 
 A page is cut into blocks at block-level tags. The first pass decides what it can from a
 block's place (menus, footers, adverts, comments and the like are marked as such by their tags,
-or by names of theirs, see ``named_away``), its link density, its length and its share of stop words. What is short, or long but
+or by names of theirs, see ``named_away``), its link density (outside a declared article), its
+length and its share of stop words. What is short, or long but
 neither prose nor marked, stays open. The second pass gives an open block the label of the
 nearest decided blocks of the same part of the page; where they disagree, the nearer one counts.
 
 Where a page says what its article is (``article``, ``main``), only that part can be text, and
-open blocks without decided neighbours are kept there. Elsewhere they take the label of the
+open blocks without decided neighbours are kept there. In it, mostly linked text is open, not
+decided. Elsewhere they take the label of the
 nearest decided blocks of the enclosing part, or of the one around that, up to the page. Where
 no block of a page is text, as in languages without a list of stop words, length and link
-density alone decide: of each block or, where all are short, of the open ones taken together.
+density alone decide; where all open blocks are short, they all are text.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are
 joined by one line feed. Nothing is cut off.
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -42,9 +45,12 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea".split())
 OUTSIDE = frozenset(
-    "aside button canvas dialog footer form head iframe menu nav noscript object option select svg "
+    "aside button canvas dialog footer head iframe menu noscript object option select svg "
     "template textarea title".split()
 )
+#: Outside a declared article as good as a name: a form can be around the whole page, a menu
+#: can be left open.
+NAMED_TAGS = frozenset(("form", "nav"))
 TEXT_PARTS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ENDS_PARAGRAPH = BLOCK - {"body", "html", "head"}
@@ -70,8 +76,9 @@ COMMENT_NAMES = frozenset("comment comments disqus replies reply respond".split(
 
 MAX_LINKS = 0.4
 SHORT = 80
-DEEPEST_NAMES = 16
 PROSE = 0.2
+#: An element with more of the page's prose is the page's text, whatever its name.
+MAIN_SHARE = 0.8
 _STOP = frozenset(STOP_WORDS)
 
 _TOKEN = re.compile(
@@ -92,7 +99,8 @@ class Element(NamedTuple):
     outside: bool
     text_part: bool
     part: int
-    named: tuple[int, ...] = ()
+    #: The innermost element around it whose name says that it is no text, or -1.
+    named: int = -1
 
 
 @dataclass
@@ -104,8 +112,7 @@ class Block:
     part: int
     heading: bool = False
     label: bool | None = None
-    #: The elements around it whose names say that they are no text.
-    named: tuple[int, ...] = ()
+    named: int = -1
 
 
 def _names_it(token: str, names: frozenset[str]) -> bool:
@@ -121,7 +128,7 @@ def _names_it(token: str, names: frozenset[str]) -> bool:
 
 def _is_outside(tag: str, attributes: str, in_text_part: bool) -> bool:
     """Whether an element is known by more than a name not to hold the page's text."""
-    if tag in OUTSIDE or (tag == "header" and not in_text_part):
+    if tag in OUTSIDE or (tag == "header" and not in_text_part) or (tag in NAMED_TAGS and in_text_part):
         return True
     if not attributes or tag in ("html", "body"):
         return False
@@ -133,6 +140,8 @@ def _is_outside(tag: str, attributes: str, in_text_part: bool) -> bool:
 
 def _name_of(tag: str, attributes: str, in_text_part: bool) -> str | None:
     """What the element's classes and id say that it is: ``comment``, ``other`` or nothing."""
+    if tag in NAMED_TAGS:
+        return "other"
     if not attributes or tag in ("html", "body"):
         return None
     found = [(kind, "".join(values)) for kind, *values in _NAMED.findall(attributes)]
@@ -151,8 +160,8 @@ class Page:
     blocks: list[Block]
     #: Per part the one around it; a part comes after the one around it.
     around: list[int]
-    #: Per named element what its name says.
-    names: list[str]
+    #: Per named element what its name says, and the named element around it.
+    names: list[tuple[str, int]]
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -161,6 +170,7 @@ def blocks_of(page: str) -> list[Block]:
 
 def parsed(page: str) -> Page:
     stack = [Element("", False, False, 0)]
+    n_open: Counter[str] = Counter()  # of the stack, by tag
     around, names = [0], []
     blocks: list[Block] = []
     pieces: list[str] = []
@@ -194,9 +204,10 @@ def parsed(page: str) -> Page:
                 links = max(0, links - 1)
             elif tag in BLOCK or tag in OUTSIDE:
                 close_block()
-                if any(e.tag == tag for e in stack):
-                    while stack.pop().tag != tag:
-                        pass
+                if n_open[tag]:
+                    while (popped := stack.pop().tag) != tag:
+                        n_open[popped] -= 1
+                    n_open[tag] -= 1
             continue
         if tag == "br":
             pieces.append(" ")
@@ -219,17 +230,16 @@ def parsed(page: str) -> Page:
         if tag in BLOCK:
             links = 0
         if tag in ENDS_PARAGRAPH and stack[-1].tag == "p":
-            stack.pop()
+            n_open[stack.pop().tag] -= 1
         if tag == stack[-1].tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
-            stack.pop()
+            n_open[stack.pop().tag] -= 1
         above = stack[-1]
         outside = _is_outside(tag, rest, above.text_part)
         name = None if outside else _name_of(tag, rest, above.text_part)
         named = above.named
-        # Deeper names add nothing on pages that nest without end.
-        if name and len(named) < DEEPEST_NAMES:
-            names.append(name)
-            named = (*named, len(names) - 1)
+        if name:
+            names.append((name, named))
+            named = len(names) - 1
         is_part = tag in TEXT_PARTS
         part = above.part
         if is_part or outside or name or tag in ("section", "td"):
@@ -237,6 +247,7 @@ def parsed(page: str) -> Page:
             part = len(around) - 1
         if not rest.rstrip().endswith("/") or tag in BLOCK:
             stack.append(Element(tag, above.outside or outside, above.text_part or is_part, part, named))
+            n_open[tag] += 1
     close_block()
     return Page(blocks, around, names)
 
@@ -250,22 +261,33 @@ def _is_prose(block: Block) -> bool:
 def named_away(page: Page) -> None:
     """Marks as outside what is in elements named as no text, where the page's prose agrees.
 
-    The name of an element that holds most of the prose says nothing, comments apart. If no
-    prose is left, first the other names and then those of comments say nothing.
+    The name of an element that holds more than ``MAIN_SHARE`` of the prose says nothing, comments
+    apart. If no prose is left, first the other names and then those of comments say nothing. On
+    a page without prose, its longer blocks stand for it.
     """
-    prose = [len(b.text) if not b.outside and b.linked <= MAX_LINKS * len(b.text.replace(" ", "")) and _is_prose(b) else 0 for b in page.blocks]
+    free = [not b.outside and b.linked <= MAX_LINKS * len(b.text.replace(" ", "")) for b in page.blocks]
+    prose = [len(b.text) if f and _is_prose(b) else 0 for b, f in zip(page.blocks, free, strict=True)]
+    if not any(prose):
+        prose = [len(b.text) if f and len(b.text) >= SHORT else 0 for b, f in zip(page.blocks, free, strict=True)]
     held = [0] * len(page.names)
     for block, n in zip(page.blocks, prose, strict=True):
-        for i in block.named:
-            held[i] += n
+        if block.named >= 0:
+            held[block.named] += n
+    # An element comes after the one around it.
+    for i in range(len(held) - 1, -1, -1):
+        if page.names[i][1] >= 0:
+            held[page.names[i][1]] += held[i]
     total = sum(prose)
-    cuts = {i for i, n in enumerate(held) if page.names[i] == "comment" or 2 * n <= total}
     for kept in ((), ("other",), ("other", "comment")):
-        cuts = {i for i in cuts if page.names[i] not in kept}
-        if not total or any(n and cuts.isdisjoint(b.named) for b, n in zip(page.blocks, prose, strict=True)):
+        cut: list[bool] = []
+        for (name, outer), n in zip(page.names, held, strict=True):
+            own = name not in kept and (name == "comment" or n <= MAIN_SHARE * total)
+            cut.append(own or (outer >= 0 and cut[outer]))
+        gone = [b.named >= 0 and cut[b.named] for b in page.blocks]
+        if not total or any(n and not g for n, g in zip(prose, gone, strict=True)):
             break
-    for block in page.blocks:
-        block.outside = block.outside or not cuts.isdisjoint(block.named)
+    for block, g in zip(page.blocks, gone, strict=True):
+        block.outside = block.outside or g
 
 
 def first_pass(block: Block, has_text_part: bool) -> bool | None:
@@ -274,7 +296,7 @@ def first_pass(block: Block, has_text_part: bool) -> bool | None:
         return False
     letters = len(block.text.replace(" ", ""))
     if block.linked > MAX_LINKS * letters:
-        return False
+        return None if has_text_part else False
     return True if _is_prose(block) else None
 
 
@@ -350,14 +372,11 @@ def _inherit(blocks: list[Block], around: list[int]) -> None:
 
 
 def without_prose(blocks: list[Block]) -> None:
-    """Where no block is text, the long open ones are or, if there are none, all of them together."""
+    """Where no block is text, the long open ones are or, if there are none, all of them."""
     if any(b.label for b in blocks):
         return
     still = [b for b in blocks if b.label is None]
-    long = [b for b in still if len(b.text) >= SHORT]
-    if not long and sum(len(b.text) for b in still) >= SHORT:
-        long = still
-    for block in long:
+    for block in [b for b in still if len(b.text) >= SHORT] or still:
         block.label = True
 
 

@@ -146,6 +146,8 @@ def _inside(word: str, steps: dict[str, list[float]], longest: int) -> Iterator[
 def expected_counts(word: str, table: dict[str, float], longest: int) -> dict[str, float]:
     """Each piece's expected number in a word over all segmentations, by forward and backward sums."""
     size = len(word)
+    if size > SHORT:
+        return _expected_in_logs(word, table, longest)
     ahead, behind = [1.0] + [0.0] * size, [0.0] * size + [1.0]
     found = []
     for end in range(1, size + 1):
@@ -166,6 +168,34 @@ def expected_counts(word: str, table: dict[str, float], longest: int) -> dict[st
     return counts
 
 
+def _links(word: str, end: int, table: dict[str, float], longest: int) -> Iterator[tuple[int, float]]:
+    """Where pieces that end at ``end`` start, with their probabilities."""
+    for start in range(max(0, end - longest), end):
+        p = table.get(word[start:end])
+        if p is not None:
+            yield start, p
+    if word[end - 1] not in table:
+        yield end - 1, UNKNOWN
+
+
+def _expected_in_logs(word: str, table: dict[str, float], longest: int) -> dict[str, float]:
+    """``expected_counts`` of a word of any length: its sums are too small for numbers as such."""
+    size = len(word)
+    ahead, behind = [0.0] * (size + 1), [-math.inf] * size + [0.0]
+    for end in range(1, size + 1):
+        terms = [ahead[start] + math.log(p) for start, p in _links(word, end, table, longest)]
+        most = max(terms)
+        ahead[end] = most + math.log(sum(math.exp(t - most) for t in terms))
+    counts: dict[str, float] = defaultdict(float)
+    for end in range(size, 0, -1):
+        for start, p in _links(word, end, table, longest):
+            term = math.log(p) + behind[end]
+            counts[word[start:end]] += math.exp(ahead[start] + term - ahead[size])
+            high, low = max(behind[start], term), min(behind[start], term)
+            behind[start] = high + math.log1p(math.exp(low - high))
+    return counts
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -219,10 +249,6 @@ def _expectation(tables: dict[str, dict[str, float]], longest: int):
     return step
 
 
-#: Longer words than this are left out of the training counts (not out of scoring).
-LONGEST_TRAINED = 40
-
-
 def train(docs: DataFrame, vocabulary: str | None = None, s: Settings = Settings()) -> Model:
     """Fit on rows outside the held-out fold that have a language."""
     pieces = pieces_of(vocabulary or public_tokenizers.path(VOCABULARY))
@@ -236,7 +262,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, s: Settings = Settings
         chance = F.when(F.col("lang") == lang, min(1.0, s.max_documents / n)).otherwise(chance)
     words = known.where(unit < chance).select("lang", F.explode(per_text(words_of, "array<string>")("text")).alias("word"))
     counted, path = staged(
-        words.where(F.length("word") <= LONGEST_TRAINED).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")),
+        words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")),
         "language-words",
     )
     longest = max(map(len, pieces))

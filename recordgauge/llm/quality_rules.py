@@ -115,6 +115,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return with_columns(split, **{n: c.cast("long") for n, c in measures.items()}).drop("_words", "_lines")
 
 
+#: The measures of the base, and those that the method adds.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MORE = ("n_exclamations", "n_stop_words", "n_lines")
+
+
 def passes(rules: tuple[Rule, ...] = RULES) -> Column:
     """The threshold table as one condition; a ratio to nothing is zero."""
     verdict = F.lit(True)
@@ -162,6 +167,6 @@ m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_
   CAST(length(regexp_replace(text, '[^!]', '', 'g')) AS BIGINT) AS n_exclamations,
   CAST(len(list_filter(words, lambda x: list_contains({_sql_list(_stop_forms())}, x))) AS BIGINT) AS n_stop_words,
   CAST(len(lines) AS BIGINT) AS n_lines FROM w LEFT JOIN p ON w.r = p.r)
-SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words) AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words) AND {" AND ".join(bounds)} AS kept FROM m
+SELECT doc_id, {", ".join(BASE)}, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words) AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words) AND {" AND ".join(bounds)} AS kept, {", ".join(MORE)} FROM m
 """

@@ -33,7 +33,9 @@ def op1_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.judge(docs).drop("text")
+    return quality_rules.judge(docs).select(
+        "doc_id", *quality_rules.BASE, "base_failed", "kept", *quality_rules.MORE
+    )
 
 
 def op3_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mixed(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept"
+        "doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept", "fit_error"
     )
 
 

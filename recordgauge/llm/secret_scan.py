@@ -5,7 +5,8 @@ string has no such pairs, so it needs about one token per one and a half charact
 takes unbroken runs of key characters, leaves out what is random by nature but no secret
 (digests, UUIDs, mail addresses, times, plain numbers), and reports runs with few characters per
 token. A run that is not reported whole is cut at its joints (``CUTS``) and its parts are tested
-too; a leading date or time is cut off, and what follows it is tested.
+too; a leading date or time is cut off, and what follows it is tested. The host of a URL is no
+secret and is left out of the run that goes on with its path.
 
 A span is (kind, start, end) in code points, end exclusive. Base kinds are always reported;
 ``random`` spans are added where no base span overlaps.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import public_tokenizers
@@ -50,7 +52,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:[.=][A-Za-z0-9+/_-]+)*=*")
 CUTS = tuple(re.compile(x) for x in ("[^.=]+=*", "[^/]+", "[^_+-]+"))
 _LOCAL_PART = re.compile(r"[A-Za-z0-9._+-]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])")
-_USER_INFO = re.compile(r"://[^\s/@]*\Z")
+_USER_INFO = re.compile(r"(?<=://)[^\s/@]*")
 # Lengths of hexadecimal digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -128,13 +130,14 @@ def _random_parts(run: str, at: int, encoding: tiktoken.Encoding, level: int = 0
     return found
 
 
-def _address_end(text: str, start: int, end: int) -> int | None:
+def _address_end(text: str, start: int, end: int, user_info: list[tuple[int, int]]) -> int | None:
     """Where the mail address ends whose first part is the run; None where it is none."""
     domain = _DOMAIN.match(text, end)
     if not domain or not _LOCAL_PART.fullmatch(text, start, end):
         return None
     # In postgres://user:run@host the run is a password.
-    return None if _USER_INFO.search(text[max(0, start - 300) : start]) else domain.end()
+    before = bisect_right(user_info, (start, len(text))) - 1
+    return None if before >= 0 and user_info[before][1] >= start else domain.end()
 
 
 def random_spans(
@@ -144,14 +147,19 @@ def random_spans(
     if _longest_word(text) < MIN_RUN:
         return []
     spans, address = [], 0
+    # Where user names and passwords of URLs stand, in order; of any length.
+    user_info = [m.span() for m in _USER_INFO.finditer(text)] if "@" in text else []
     for m in _RUN.finditer(text):
         start, end = m.span()
         if text[end : end + 1] == "@":
-            address = _address_end(text, start, end) or address
+            address = _address_end(text, start, end, user_info) or address
             if address > end:
                 continue
-        # The run of an address's domain may go on with a path.
+        # The run of an address's domain may go on with a path, and so may that of a URL's host.
         start = max(start, min(address, end))
+        if text.startswith("://", start - 3) and start >= 3 and text[end : end + 1] not in ("@", ":"):
+            slash = text.find("/", start, end)
+            start = end if slash < 0 else slash + 1
         if end - start < MIN_RUN:
             continue
         for low, high in _random_parts(text[start:end], start, _encoding(vocabulary)):

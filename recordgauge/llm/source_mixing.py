@@ -43,7 +43,7 @@ class Settings:
     keep: float = 0.8
     smoothing: float = 0.7
     tolerance: float = 1e-3
-    max_sweeps: int = 40
+    max_sweeps: int = 1000
     seed: int = 11
     #: Shares by dimension and value, e.g. {"lang": {"en": 0.5, "de": 0.5}}.
     targets: Mapping[str, Mapping[str, float]] = field(default_factory=dict)
@@ -105,7 +105,9 @@ def _targets(cells: DataFrame, key: str, given: Mapping[str, float] | None, s: S
 def rake(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, str]:
     """Cells with ``tokens``, ``weight`` and the last sweep's factors, as a staged table.
 
-    A cell without tokens keeps weight zero.
+    A cell without tokens keeps weight zero. ``fit_error`` is how far the last sweep's factors
+    were from one at most: above ``tolerance``, ``max_sweeps`` have ended the fit, as when the
+    targets contradict each other.
     """
     spark = docs.sparkSession
     counted = _keyed(docs).groupBy(*_KEYS).agg(F.sum("n_tokens").alias("tokens"))
@@ -117,6 +119,7 @@ def rake(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, str]:
         if dimension in s.targets and not wanted[key].where("target > 0").take(1) and cells.where("tokens > 0").take(1):
             raise ValueError(f"no document has a {dimension} with a positive target")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
+    error = 0.0
     for _ in range(s.max_sweeps):
         swept = cells.select(*_KEYS, "tokens", "weight")
         for key in _KEYS:
@@ -131,10 +134,11 @@ def rake(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, str]:
         off = cells.where("weight > 0").agg(
             *(F.max(F.abs(F.col(f"factor{key}") - 1)).alias(key) for key in _KEYS)
         ).first()
-        if max((x or 0.0) for x in off) <= s.tolerance:
+        error = max((x or 0.0) for x in off)
+        if error <= s.tolerance:
             break
     discard(spark, *paths)
-    return cells, path
+    return cells.withColumn("fit_error", F.lit(error)), path
 
 
 def probabilities(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -156,12 +160,13 @@ def probabilities(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             break
         scale = better
     chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") * scale / F.col("tokens")))
-    return cells.select(*_KEYS, "weight", chance.otherwise(1.0).alias("probability"))
+    return cells.select(*_KEYS, "weight", chance.otherwise(1.0).alias("probability"), "fit_error")
 
 
 def mixed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs`` with topic, n_tokens, weight (of its cell), probability and whether it is ``kept``."""
-    free = docs.drop("weight", "probability", "kept")
+    """``docs`` with topic, n_tokens, weight (of its cell), probability, whether it is ``kept``, and
+    the ``fit_error`` of the weights."""
+    free = docs.drop("weight", "probability", "kept", "fit_error")
     keyed = _keyed(free).join(probabilities(docs, s), list(_KEYS))
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("="), F.col("text")), F.lit("="))
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(s.seed), name), 11) / float(1 << 53)
@@ -170,7 +175,7 @@ def mixed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def sample(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged."""
-    added = {"n_tokens", "weight", "probability", "kept", "_measures", *_KEYS}
+    added = {"n_tokens", "weight", "probability", "kept", "fit_error", "_measures", *_KEYS}
     if not added & {c.lower() for c in docs.columns}:
         return mixed(docs, s).where("kept").select(*docs.columns)
     packed = docs.select("doc_id", "text", *(c for c in DIMENSIONS if c in docs.columns), F.struct("*").alias("_all"))

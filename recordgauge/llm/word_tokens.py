@@ -1,7 +1,8 @@
 """Token ids of whole texts, word by word, with each distinct word encoded once per worker.
 
 The vocabulary's pre-tokenizer never joins characters across white space and sees no context
-beyond a word, so a text's ids are its words' ids in a row. It also parts letters from a run of
+beyond a word, so a text's ids are its words' ids in a row; the name of a special token is that
+token, also beside letters. It also parts letters from a run of
 punctuation after them, so ``word,`` is looked up as ``word`` and ``,``.
 
 Words of plain Latin letters are single pre-tokens whatever the normaliser does but for their
@@ -41,8 +42,6 @@ class WordEncoder(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        # Names of special tokens in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
         self.merges = self.tokenizer.model
 
     def encode(self, text: str | None) -> bytes:

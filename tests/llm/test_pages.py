@@ -13,7 +13,7 @@ PROSE = "It was the best of times and it was the worst of times for all who had
 @pytest.mark.parametrize(
     ("page", "text"),
     [
-        (None, ""), ("", ""), ("plain", ""), ("<p>", ""), (f"<p>{PROSE}", PROSE),
+        (None, ""), ("", ""), ("plain", "plain"), ("<p>", ""), (f"<p>{PROSE}", PROSE),
         (f"<article><h1>A &amp; B</h1><p>One<br>two&nbsp; three<p>{PROSE}</article><footer>f</footer>", f"A & B\nOne two three\n{PROSE}"),
         (f"<nav><a href=x>{PROSE}</a></nav><div>{PROSE}</div>", PROSE),
         (f"<main><p>Short.</p><aside>{PROSE}</aside><form>{PROSE}<input></form></main>", "Short."),
