@@ -157,8 +157,8 @@ def random_spans(
                 continue
         # The run of an address's domain may go on with a path, and so may that of a URL's host.
         start = max(start, min(address, end))
-        if text.startswith("://", start - 3) and start >= 3 and text[end : end + 1] not in ("@", ":"):
-            slash = text.find("/", start, end)
+        if start and text.startswith("://", start - 1) and text[end : end + 1] not in ("@", ":"):
+            slash = text.find("/", start + 2, end)
             start = end if slash < 0 else slash + 1
         if end - start < MIN_RUN:
             continue

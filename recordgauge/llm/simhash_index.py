@@ -8,6 +8,10 @@ least one of them, hence every linked pair meets in at least one posting list. I
 the shared positional bytes of a pair are counted, pairs below four are left out, and the rest
 are verified bit by bit.
 
+A list of more than ``LONG_LIST`` fingerprints is divided: its pairs share a fourth positional
+byte, so each of the five other positions gives lists by the byte there, and every linked pair
+meets in one of them. A common piece of text that fixes three bytes makes no list of its own.
+
 Fingerprints are indexed once however many documents share them. A posting list yields a
 spanning forest of its links instead of all its pairs: a breadth-first search compares each
 fingerprint with the ones not reached yet, which is enough for the components.
@@ -39,6 +43,7 @@ MIN_SHARED_BYTES = POSITIONS - MAX_DIFFERING
 SHINGLE_WORDS = 4
 SEED = 42
 _CHUNK = 65_536
+LONG_LIST = 4_096
 
 
 def _covering_triples() -> list[tuple[int, int, int]]:
@@ -174,11 +179,27 @@ def _links_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield links(*(np.concatenate([p[i] for p in held]) for i in range(3)))
 
 
-def fingerprint_links(distinct: DataFrame, column: str = "fp") -> DataFrame:
-    """(left, right) links that connect exactly what the 4-bit relation connects.
+def _finer_lists(fp: Column) -> Column:
+    """Per triple, the masks of a fingerprint's four positional bytes with each other position."""
+    finer = []
+    for triple, mask in zip(TRIPLES, _MASKS, strict=True):
+        others = (p for p in range(POSITIONS) if p not in triple)
+        finer.append(
+            F.array(
+                *(
+                    F.struct(
+                        F.lit(len(TRIPLES) + p).alias("fourth"),
+                        fp.bitwiseAND(F.lit(_signed(mask | (0xFF << (8 * p))))).alias("key"),
+                    )
+                    for p in others
+                )
+            )
+        )
+    return F.array(*finer)
 
-    ``distinct`` holds each fingerprint once.
-    """
+
+def posting_lists(distinct: DataFrame, column: str = "fp", long_list: int = LONG_LIST) -> DataFrame:
+    """(triple, key, fp): in which lists each fingerprint is; ``triple`` numbers the positions."""
     fp = F.col(column)
     postings = F.array(
         *(
@@ -186,9 +207,32 @@ def fingerprint_links(distinct: DataFrame, column: str = "fp") -> DataFrame:
             for i, mask in enumerate(_MASKS)
         )
     )
+    lists = distinct.select(fp.alias("fp"), F.explode(postings).alias("posting")).select(
+        "posting.triple", "posting.key", "fp"
+    )
+    # Counted before the shuffle; there are few of them, at most 20 / long_list of the rows.
+    long = (
+        lists.groupBy("triple", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > long_list)
+        .select("triple", "key", F.lit(True).alias("is_long"))
+    )
+    whole = F.array(F.struct(F.lit(0).alias("fourth"), F.col("key").alias("key")))
+    finer = F.element_at(_finer_lists(F.col("fp")), F.col("triple") + 1)
+    return (
+        lists.join(long, ["triple", "key"], "left")
+        .select("triple", "fp", F.explode(F.when(F.col("is_long"), finer).otherwise(whole)).alias("list"))
+        .select((F.col("triple") + 100 * F.col("list.fourth")).alias("triple"), "list.key", "fp")
+    )
+
+
+def fingerprint_links(distinct: DataFrame, column: str = "fp", long_list: int = LONG_LIST) -> DataFrame:
+    """(left, right) links that connect exactly what the 4-bit relation connects.
+
+    ``distinct`` holds each fingerprint once and is read twice.
+    """
     return (
-        distinct.select(fp.alias("fp"), F.explode(postings).alias("posting"))
-        .select("posting.triple", "posting.key", "fp")
+        posting_lists(distinct, column, long_list)
         .repartition("triple", "key")
         .sortWithinPartitions("triple", "key")
         .mapInArrow(_links_of_lists, "left long, right long")

@@ -144,6 +144,27 @@ def test_forward_and_counts_equal_all_segmentations():
         assert all(math.isclose(expected[p], c / total, rel_tol=1e-6, abs_tol=1e-12) for p, c in counts.items())
 
 
+def test_counts_of_long_words_equal_those_of_short_sums(monkeypatch):
+    rng = random.Random(5)
+    table = {"▁": 0.1, "a": 0.2, "b": 0.1, "ab": 0.2, "ba": 0.1, "aba": 0.2, "▁a": 0.1}
+    for _ in range(50):
+        word = "▁" + "".join(rng.choice("abx") for _ in range(rng.randint(1, 40)))
+        direct, logs = pl.expected_counts(word, table, 3), pl._expected_in_logs(word, table, 3)
+        assert {p for p, n in direct.items() if n} == {p for p, n in logs.items() if n}
+        assert all(direct[p] == pytest.approx(logs[p], rel=1e-9) for p in direct)
+    long = pl.expected_counts("▁" + "ab" * 3_000, table, 3)
+    assert sum(len(p) * n for p, n in long.items()) == pytest.approx(6_001)
+
+
+def test_a_language_of_long_words_is_learned(spark):
+    rng = random.Random(6)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(60)) for _ in range(20))
+    rows = [(i, text("aeiostn"), "one") if i % 2 else (i, text("zkwjyhp"), "two") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = {r.doc_id: r.lang_pred for r in pl.judge(df).collect()}
+    assert all(judged[i] == lang for i, _, lang in rows)
+
+
 def test_very_long_words_do_not_underflow():
     table = {"a": [0.1, 0.2], "aa": [0.01, 0.02]}
     short, long = (pl.log_probability("a" * n, pl.stepped(table), 2, 2) for n in (300, 3_000))

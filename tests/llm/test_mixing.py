@@ -83,3 +83,13 @@ def test_topics(spark):
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     rows = m.mixed(docs, m.Settings(keep=1.0)).collect()
     assert {r.text: r.topic for r in rows} == texts
+
+
+def test_an_unconverged_fit_says_so(spark):
+    # Every text of source a is in one language, so these targets contradict each other.
+    rows = [(i, "one two three", "en" if i < 5 else "de", "a" if i < 5 else "b") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}
+    fitted = m.mixed(docs, m.Settings(targets=targets, max_sweeps=5)).first().fit_error
+    assert fitted > m.Settings().tolerance
+    assert m.mixed(docs).first().fit_error <= m.Settings().tolerance

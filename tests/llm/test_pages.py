@@ -1,6 +1,7 @@
 import html as reference
 import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,30 @@ def test_open_blocks_ask_the_parts_around_theirs(page, text):
 
 def test_parts_without_end():
     assert b.main_text("<section>" * 5_000 + PROSE + "<section>Short." * 5_000).startswith(f"{PROSE}\nShort.")
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<h1>Title</h1><p>Closed until Monday.</p>", "Title\nClosed until Monday."),
+        (f"<article><p>{PROSE}</p><ul><li><a href=x>See the manual</a></li></ul><p>{PROSE}</p></article>", f"{PROSE}\nSee the manual\n{PROSE}"),
+        (f"<article><p><a href=x>{PROSE}</a></p></article>", PROSE),
+        (f"<form action=x><h1>Title</h1><p>{PROSE}</p></form>", f"Title\n{PROSE}"),
+        (f"<form action=x><p>Search</p></form><p>{PROSE}</p>", PROSE),
+        (f"<nav><ul><li><a href=1>Home</a></li></ul><div><p>{PROSE}</p></div>", PROSE),
+        (f"<article><p>{PROSE}</p><p class=notice>{PROSE} and more</p></article>", PROSE),
+        (f"<div class=post><p>{PROSE}</p></div><div class=related-posts><p>{PROSE}</p><p>{PROSE}</p></div>", PROSE),
+        ("<div class=box>" * 5 + "<div class=comments>" * 20 + f"<p>{PROSE}</p>" + "</div>" * 25 + f"<p>{PROSE} x</p>", f"{PROSE} x"),
+    ],
+)
+def test_names_forms_and_short_pages_by_evidence(page, text):
+    assert b.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page", ["<div>" * 20_000 + "x" + "</div></nav></p>" * 20_000, "<div class='ad'><p>x</p>" * 20_000, "<p><div></section>" * 20_000]
+)
+def test_nesting_is_read_in_linear_time(page):
+    begun = time.process_time()
+    b.main_text(page)
+    assert time.process_time() - begun < 5

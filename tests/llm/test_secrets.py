@@ -183,3 +183,16 @@ def test_addresses_times_and_words_are_left_alone(text):
 def test_long_runs_end():
     for text in ("a." * 50_000, "2024-01-15-" * 10_000, "a@" * 50_000, "x1/" * 50_000):
         assert isinstance(s.spans_of(text), list)
+
+
+def test_user_names_and_hosts_of_any_length():
+    key = "hG7kQ2xV9mZ4tR8wB1nC6yL3"
+    for name in ("user", "u" * 400, "u" * 40_000):
+        text = f"see postgres://{name}:{key}@host.com and a.b@host.com"
+        assert [x for x in s.spans_of(text) if x[0] == "random"] == [("random", 16 + len(name), 16 + len(name) + len(key))]
+    # Of a URL only the key is reported, and a host is none.
+    url = f"https://example.com/{key}"
+    assert s.spans_of(url) == [("random", 20, len(url))]
+    assert s.spans_of(f"https://{key}.example.com/x") == []
+    many = "x://a@b " * 20_000 + f"x://u:{key}@h.com"
+    assert [url[1:] for url in s.spans_of(many)] == [(len(many) - len(key) - 6, len(many) - 6)]

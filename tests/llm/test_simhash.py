@@ -76,6 +76,34 @@ def test_links_connect_what_brute_force_connects(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, grouped.values()))
 
 
+def test_long_lists_are_divided(spark):
+    """A text that fixes three bytes of every fingerprint makes no list of all of them."""
+    rng = random.Random(12)
+    fixed = 0x00CC0000BB0000AA
+    free = 0xFF00FFFF00FFFF00
+    seeds = [rng.getrandbits(64) & free for _ in range(1_500)]
+    seeds += [x ^ sum(1 << b for b in rng.sample([b for b in range(64) if free >> b & 1], rng.randint(1, 5))) for x in seeds]
+    values = sorted({x | fixed for x in seeds})
+    frame = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp long")
+    sizes = [r["count"] for r in s.posting_lists(frame, long_list=100).groupBy("triple", "key").count().collect()]
+    assert max(sizes) < 100 < len(values) / 20
+    assert max(r["count"] for r in s.posting_lists(frame, long_list=10**9).groupBy("triple", "key").count().collect()) == len(values)
+    links = [(r.left % 2**64, r.right % 2**64) for r in s.fingerprint_links(frame, long_list=100).collect()]
+    at = {v: i for i, v in enumerate(values)}
+    assert all(near(a, b) for a, b in links)
+    root = list(range(len(values)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i] = root[root[i]]
+        return i
+
+    for a, b in links:
+        x, y = sorted((find(at[a]), find(at[b])))
+        root[y] = x
+    assert [find(i) for i in range(len(values))] == components(values, near)
+
+
 def test_a_spanning_forest_has_few_links():
     rng = np.random.default_rng(1)
     around = np.unique(np.bitwise_xor(np.uint64(12345), np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)))
