@@ -13,7 +13,9 @@ whole text.
 Defined results: a null text counts as an empty one, and an empty one is scored by the same
 formula with length one; repeated rows get equal scores; a null doc_id is scored but never
 learned from; if a label has no training row, every score is the other label's, 1 or 0, and 0.5
-if both have none. ``score`` and ``predicted`` of the input are replaced.
+if both have none; a document labelled both good and bad is no example of either; an empty table
+gives an empty result. ``score`` and ``predicted`` of the input are replaced. Where a label has too
+few texts for a dictionary, its texts stand for one, of them the last ``dictionary_bytes``.
 """
 
 from __future__ import annotations
@@ -139,8 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     """Fit on rows outside the held-out fold. ``docs`` has doc_id and text, ``labels`` doc_id and quality."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (bucket("doc_id", FOLDS) != HELD_OUT))
-        .select("doc_id", (F.col("quality") == 1).alias("good"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("quality").alias("least"), F.max("quality").alias("most"))
+        .where("least = most")
+        .select("doc_id", (F.col("least") == 1).alias("good"))
     )
     n = known.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).first()
     if not n.good or not n.bad:

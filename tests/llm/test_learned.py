@@ -105,6 +105,19 @@ def test_quality_of_odd_tables(spark):
 
 
 @tables
+def test_contradictory_quality_labels_are_no_examples(spark):
+    rows = [(i, ("good text here " if i % 2 else "#$ x9 %% ") * 20 + str(i), "en", "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = [(i, i % 2) for i in range(40)]
+    both = [(5, 0), (6, 1), (5, 1), (6, 0)]
+
+    def scores(some):
+        return {r.doc_id: r.score for r in cq.judge(docs, spark.createDataFrame(some, "doc_id long, quality int")).collect()}
+
+    without = scores([x for x in labels if x[0] not in (5, 6)])
+    assert scores(labels + both) == scores(both[::-1] + labels[::-1]) == without
+
+
 def test_quality_held_out(spark):
     pairs = accuracy(spark, "op6_compression_quality", "quality", (4, 2))
     right = sum(p == y for p, y in pairs) / len(pairs)
