@@ -44,6 +44,8 @@ from pyspark.sql import functions as F
 from recordgauge.plans.scratch import discard, staged
 
 GROUP = 64
+#: Rows of a few numbers each; more are joined without a hint.
+MOST_BROADCAST = 100_000
 BLOCK = 512
 HUB = 16 * GROUP
 _LEAST = -9.0
@@ -216,7 +218,11 @@ def _in_parts(rows: DataFrame, size: int, salt: list, *keys: str) -> DataFrame:
     large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * size)
     large = large.select(*keys, F.ceil(F.col("_n") / size).alias("_parts"))
     part = F.pmod(F.xxhash64(*salt, "node"), F.coalesce("_parts", F.lit(1))).alias("part")
-    return rows.join(F.broadcast(large), [*keys], "left").select(*rows.columns, part)
+    # Counted first: the number of large groups grows with the rows, and only few are broadcast.
+    large, _ = staged(large, "ann-large")
+    if large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        large = F.broadcast(large)
+    return rows.join(large, [*keys], "left").select(*rows.columns, part)
 
 
 def _blocks(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
