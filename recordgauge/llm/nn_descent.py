@@ -15,14 +15,19 @@ node's code to the nodes it is a neighbour of and that are its neighbours, there
 meet (neighbours of neighbours), and each member learns of the closest ones it did not know.
 Only pairs with a link that is new in this round are looked at. A node's list has ``neighbours``
 entries; a node many others point to takes its members in groups of ``GROUP`` in random order,
-and more than ``HUB`` of them in several tasks.
+and more than ``HUB`` of them in several tasks. Such a node is itself a member of many meetings:
+copies of its code go to as many parts as it has ``HUB`` of them, and of what it learns every
+task keeps the best before rows are dealt by node, so it gets ``neighbours`` rows a task at most.
 
 Searching. A query that is a node starts there and at its own neighbours; each round expands the
 ``expanded`` best nodes not yet expanded among its best ``kept``, by joins with the links and
-the codes, until no query has any left or after ``search_rounds``.
+the codes, until no query has any left or after ``search_rounds``. Codes are fetched only for
+pairs of query and node that the query's list does not hold; nodes that many queries reach are
+dealt to parts as well.
 
 Every round is a written table. Only counts and the mean direction reach the driver; the keys of
-large blocks and hubs, at most one for ``HUB`` rows, are sent to all tasks.
+large blocks and hubs, at most one for ``HUB`` rows, are sent to all tasks while they are no more
+than ``MOST_BROADCAST``.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, have a null
 id or another dimension than most (ties: the smaller) take no part; a query finds all others if
@@ -155,6 +160,12 @@ def _best(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("a", "b", "sim", "old").repartition("a").sortWithinPartitions("a").mapInArrow(_top(size), _EDGES)
 
 
+def _best_of_task(rows: DataFrame, size: int) -> DataFrame:
+    """The best ``size`` of each a in each task, before any shuffle: what is lost is in no best."""
+    columns = ["a", "b", "sim", "old"]
+    return rows.select(*columns).sortWithinPartitions("a").mapInArrow(_top(size), _EDGES).select(*columns)
+
+
 def _closest(sims: np.ndarray, count: int) -> np.ndarray:
     count = min(count, sims.shape[1])
     return np.argpartition(-sims, count - 1, axis=1)[:, :count]
@@ -213,18 +224,40 @@ def _mean(nodes: DataFrame, n: int, d: int) -> np.ndarray:
     return np.sum([r.total for r in totals] or [np.zeros(d)], axis=0) / max(1, n)
 
 
-def _in_parts(rows: DataFrame, size: int, salt: list, *keys: str) -> DataFrame:
-    """``rows`` with ``part``, a hash of the node that deals large groups to parts of about ``size``."""
-    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * size)
-    large = large.select(*keys, F.ceil(F.col("_n") / size).alias("_parts"))
-    part = F.pmod(F.xxhash64(*salt, "node"), F.coalesce("_parts", F.lit(1))).alias("part")
-    # Counted first: the number of large groups grows with the rows, and only few are broadcast.
-    large, _ = staged(large, "ann-large")
-    if large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        large = F.broadcast(large)
+def _large(rows: DataFrame, size: int, *keys: str) -> DataFrame | None:
+    """(keys, _parts) of the groups of more than twice ``size`` rows; None without any.
+
+    Their number grows with the rows, so only few are fetched and broadcast; more stay a table.
+    """
+    spark = rows.sparkSession
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * size)
+    large = counts.select(*keys, F.ceil(F.col("_n") / size).alias("_parts"))
+    few = large.limit(MOST_BROADCAST + 1).collect()
+    if not few:
+        return None
+    if len(few) > MOST_BROADCAST:
+        return staged(large, "ann-large")[0]
+    return F.broadcast(spark.createDataFrame(few, large.schema))
+
+
+def _in_parts(rows: DataFrame, large: DataFrame | None, salt: list, *keys: str) -> DataFrame:
+    """``rows`` with ``part``, by a hash that deals the ``large`` groups to their number of parts."""
+    if large is None:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    part = F.pmod(F.xxhash64(*salt), F.coalesce("_parts", F.lit(1))).alias("part")
     return rows.join(large, [*keys], "left").select(*rows.columns, part)
 
 
+def _joined(many: DataFrame, one: DataFrame, key: str, by: str, large: DataFrame | None) -> DataFrame:
+    """``many`` with the row ``one`` has for ``key``, which is copied to every part of a ``large`` one."""
+    if large is None:
+        return many.join(one, key)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)).alias("_copy")
+    dealt = _in_parts(many.withColumnRenamed("part", "_kept"), large, [F.col(by)], key).withColumnRenamed("part", "_copy")
+    copied = one.join(large, key, "left").select(*one.columns, copies)
+    return dealt.join(copied, [key, "_copy"]).drop("_copy").withColumnRenamed("_kept", "part")
+
+
 def _blocks(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
     """(tree, block, node, code, part): the groups of nodes on the same sides of random hyperplanes."""
     bits = max(0, math.ceil(math.log2(max(1.0, n / (BLOCK / 2)))))
@@ -248,7 +281,8 @@ def _blocks(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
         F.lit(s.trees).alias("tree"), F.pmod(F.xxhash64(F.lit(s.seed), "node"), F.lit(groups)).alias("block"), "node", "code"
     )
     rows = nodes.select("node", "code").mapInArrow(placed, "tree int, block long, node long, code binary").unionAll(dealt)
-    return _in_parts(rows, BLOCK, [F.lit(s.seed + 1), F.col("tree")], "tree", "block")
+    large = _large(rows, BLOCK, "tree", "block")
+    return _in_parts(rows, large, [F.lit(s.seed + 1), F.col("tree"), F.col("node")], "tree", "block")
 
 
 def _first_links(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
@@ -284,13 +318,17 @@ def _first_links(nodes: DataFrame, n: int, d: int, s: Settings) -> DataFrame:
     )
 
 
-def _members(graph: DataFrame, round_: int) -> DataFrame:
-    """(at, node, fresh, part): who meets at which node, in parts where it is many."""
+def _members(graph: DataFrame, round_: int) -> tuple[DataFrame, DataFrame | None]:
+    """(at, node, fresh, part): who meets at which node, in parts where it is many; and those hubs.
+
+    Every link is there in both directions, so a node is as often ``at`` as it is ``node``.
+    """
     fresh = (~F.col("old")).alias("fresh")
     ends = graph.select(F.col("b").alias("at"), F.col("a").alias("node"), fresh).unionAll(
         graph.select(F.col("a").alias("at"), F.col("b").alias("node"), fresh)
     )
-    return _in_parts(ends, HUB, [F.lit(round_), F.col("at")], "at")
+    large = _large(ends, HUB, "at")
+    return _in_parts(ends, large, [F.lit(round_), F.col("at"), F.col("node")], "at"), large
 
 
 def _introductions(nodes: DataFrame, graph: DataFrame, round_: int, s: Settings) -> DataFrame:
@@ -323,8 +361,11 @@ def _introductions(nodes: DataFrame, graph: DataFrame, round_: int, s: Settings)
                 a, b, sim = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield _batch(a=a, b=b, sim=sim, old=np.zeros(len(a), dtype=bool))
 
+    members, hubs = _members(graph, round_)
+    if hubs is not None:
+        hubs = hubs.withColumnRenamed("at", "node")
     return (
-        _members(graph, round_).join(known, "node")
+        _joined(members, known, "node", "at", hubs)
         .repartition("at", "part")
         .sortWithinPartitions("at", "part", F.xxhash64(F.lit(round_), "node"))
         .mapInArrow(meet, "a long, b long, sim double, old boolean")
@@ -336,7 +377,7 @@ def build(nodes: DataFrame, n: int, d: int, s: Settings) -> tuple[DataFrame, str
     spark = nodes.sparkSession
     graph, path = staged(_best(_first_links(nodes, n, d, s), s.neighbours), "ann-graph")
     for round_ in range(s.rounds):
-        met = _introductions(nodes, graph, round_, s)
+        met = _best_of_task(_introductions(nodes, graph, round_, s), s.neighbours)
         known = graph.select("a", "b", "sim", F.lit(True).alias("old"))
         before = path
         graph, path = staged(_best(known.unionAll(met), s.neighbours), "ann-graph")
@@ -391,7 +432,8 @@ def _advanced(rows: DataFrame, s: Settings) -> DataFrame:
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, s: Settings) -> tuple[DataFrame, str]:
     """(a, b, sim, …): for each node of ``queries`` its best nodes, by greedy search of the graph."""
     spark = nodes.sparkSession
-    both = graph.select("a", "b", "sim", "old").unionAll(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "old"))
+    back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "old")
+    both = graph.select("a", "b", "sim", "old").unionAll(_best_of_task(back, 2 * s.neighbours))
     links, path_links = staged(
         _best(both, 2 * s.neighbours).groupBy("a").agg(F.collect_list("b").alias("bs")).withColumnRenamed("a", "via"),
         "ann-links",
@@ -402,18 +444,19 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, s: Settings)
     )
     state, path = staged(_advanced(own, s), "ann-search")
     for _ in range(s.search_rounds):
-        picked = state.where("place < 0")
+        picked = state.where("place < 0").select("a", F.col("b").alias("via"))
         if not picked.take(1):
             break
-        # Dealt by b once, for both the distinct pairs and the join with the codes.
-        reached = (
-            picked.select("a", F.col("b").alias("via")).join(links, "via").select("a", F.explode("bs").alias("b")).where("a <> b").repartition("b").distinct()
+        reached = _joined(picked, links, "via", "a", _large(picked, HUB, "via")).select("a", F.explode("bs").alias("b"))
+        # Dealt by the pair, so no query and no node is hot, and written to be counted and joined.
+        new, path_new = staged(reached.distinct().join(state.select("a", "b"), ["a", "b"], "left_anti"), "ann-new")
+        found = _joined(new, codes, "b", "a", _large(new, HUB, "b")).select(
+            "a", "b", F.lit(None).cast("double").alias("sim"), F.lit(False).alias("old"), "code"
         )
-        found = reached.join(codes, "b").select("a", "b", F.lit(None).cast("double").alias("sim"), F.lit(False).alias("old"), "code")
         known = state.where("a <> b").select("a", "b", "sim", (F.col("old") | (F.col("place") < 0)).alias("old"), F.lit(None).cast("binary").alias("code"))
         before = path
         state, path = staged(_advanced(known.unionAll(found).unionAll(own.withColumn("old", F.lit(True))), s), "ann-search")
-        discard(spark, before)
+        discard(spark, before, path_new)
     discard(spark, path_links)
     return state, path
 
@@ -444,7 +487,7 @@ def nearest(
     slim = vectors.select(
         F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vector")
     )
-    nodes, _ = _nodes(slim, s)
+    nodes, path_nodes = _nodes(slim, s)
     size = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     graph, path_graph = build(nodes, size.n, size.d or 0, s)
     # All rows that ask, joined with the node that holds their vector.
@@ -478,5 +521,5 @@ def nearest(
         .select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_one.vec_id").alias("vec_id"), (-F.col("_one.minus")).alias("score")),
         "ann-result",
     )
-    discard(spark, path_graph, path_asking, path_found)
+    discard(spark, path_nodes, path_graph, path_asking, path_found)
     return result

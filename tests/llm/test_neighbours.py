@@ -120,10 +120,43 @@ def test_no_group_grows_with_near_copies_or_a_common_direction(spark):
     assert nn._blocks(nodes, 12_000, 32, SMALL).count() == 12_000 * (SMALL.trees + 1)
     nn.discard(spark, path)
     hub = spark.range(1, 20_001).selectExpr("id as a", "0L as b", "false as old")
-    parts = nn._members(hub, 0)
+    parts, _ = nn._members(hub, 0)
     assert parts.count() == 40_000 and parts.groupBy("at", "part").count().agg(F.max("count")).first()[0] <= 2 * nn.HUB
 
 
+def test_a_node_in_50_000_lists_is_no_hot_key(spark, monkeypatch):
+    n = 50_000
+    hub = spark.range(1, n + 1, 1, 8).selectExpr("id as a", "0L as b", "0.5 + id / 1e6 as sim", "false as old", "0 as place")
+    members, hubs = nn._members(hub, 0)
+    hubs = hubs.withColumnRenamed("at", "node")
+    codes = spark.range(n + 1).selectExpr("id as node", "id * 2 as code")
+    joined = nn._joined(members, codes, "node", "at", hubs)
+    assert joined.columns == ["node", "at", "fresh", "part", "code"]
+    assert joined.count() == 2 * n and joined.where("code <> 2 * node").count() == 0
+    dealt = nn._in_parts(members.drop("part"), hubs, [F.col("at")], "node").groupBy("node", "part").count()
+    assert dealt.agg(F.max("count")).first()[0] <= 2 * nn.HUB
+    # Many hubs stay a table: the same rows without a broadcast.
+    monkeypatch.setattr(nn, "MOST_BROADCAST", 0)
+    members, hubs = nn._members(hub, 0)
+    plan = nn._joined(members, codes, "node", "at", hubs.withColumnRenamed("at", "node"))
+    assert plan.count() == 2 * n
+    # What a hub is sent is cut in each task, and its best are those of all rows.
+    back = hub.selectExpr("b as a", "a as b", "sim", "old")
+    cut = nn._best_of_task(back, 32)
+    assert cut.count() <= 32 * 8
+    best = nn._best(cut, 32).orderBy("place").collect()
+    assert [r.b for r in best] == list(range(n, n - 32, -1))
+
+
+def test_recall_with_hubs(spark):
+    """Few dimensions' worth of directions added to many: some vectors are near to most others."""
+    rng = np.random.default_rng(12)
+    scale = 1 / np.arange(1, 49) ** 0.5
+    vectors = rng.normal(size=(2_000, 48)) * scale + 0.8 * scale
+    vectors[:20] = 0.8 * scale + 0.01 * rng.normal(size=(20, 48))
+    assert recall(spark, vectors, 25) >= 0.95
+
+
 def test_a_group_in_several_batches_is_not_cut():
     class Two:
         num_rows = 2
