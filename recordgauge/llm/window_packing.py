@@ -5,8 +5,10 @@ least room in; what exceeds a whole sequence is cut off first. When a piece fits
 fullest window is topped up with the piece's beginning and leaves, so it has no padding. The
 windows that are still open at a partition's end are merged: their pieces are packed again, the
 leftovers of ``MERGED`` partitions in one task, round after round until one task has the rest.
-A task of a merging round holds at most ``MERGED * open_windows`` windows, so nothing grows with
-the table there but the number of rounds, which is logarithmic.
+A task of a merging round holds about ``MERGED * open_windows`` windows, so nothing grows with
+the table there but the number of rounds, which is logarithmic. The windows are dealt by a group
+number, of which a round has as many as tasks: however many partitions the rows come in, the
+leftovers of a round lie in that many at most, and those of the last in one.
 
 Only the very last sequence of the table can be shorter than the length and is then padded.
 
@@ -193,7 +195,8 @@ def pack(
         parts = left.select(F.countDistinct("part")).first()[0]
         last = parts <= MERGED
         tasks = 1 if last else -(-parts // MERGED)
-        ordered = left.repartition(tasks, "sequence_id").sortWithinPartitions("sequence_id", "offset")
+        group = F.pmod(F.hash("sequence_id"), F.lit(tasks))
+        ordered = left.repartitionById(tasks, group).sortWithinPartitions("sequence_id", "offset")
         merged, _ = staged(ordered.mapInArrow(merge(round_, last), _SCHEMA), "merged", "open")
         closed = closed.unionByName(merged.where("NOT open"))
         if last:

@@ -81,6 +81,21 @@ def test_many_merging_rounds(spark, monkeypatch):
     assert sum(n < 64 for n in filled.values()) <= 1
 
 
+def test_rounds_end_whatever_the_number_of_partitions(spark, monkeypatch):
+    """A session may deal rows to more partitions than are asked for."""
+    monkeypatch.setattr(w, "MERGED", 2)
+    docs = spark.range(90).select(F.col("id").alias("doc_id"), F.lit("a b c d e f g").alias("text")).repartition(9)
+    for name in ("repartition", "repartitionById"):
+        asked = getattr(type(docs), name)
+        monkeypatch.setattr(type(docs), name, lambda self, n, *by, asked=asked: asked(self, max(n, 9), *by))
+    rows = w.pack(docs, length=61, open_windows=3).collect()
+    assert sum(r.length for r in rows) == 90 * 8
+    filled = {}
+    for r in rows:
+        filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r.length
+    assert sum(n < 61 for n in filled.values()) <= 1
+
+
 def test_repeated_null_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.length, r.doc_tokens) for r in w.pack(docs).collect()) == [("1", 3, 3), ("1", 3, 3), ("None", 2, 2)]
