@@ -50,7 +50,8 @@ def may_exceed_limits(text: Column) -> Column:
     begins, ends = F.ltrim(text, space), F.rtrim(text, space)
     nests = (begins.startswith("{") & ends.endswith("}")) | (begins.startswith("[") & ends.endswith("]"))
     whole = nests | (begins.startswith('"') & ends.endswith('"'))
-    levels = F.length(text) - F.length(F.translate(text, "[{", ""))
+    # Not by translate, which takes many times as long.
+    levels = F.length(text) - F.length(F.regexp_replace(text, r"[\[{]++", ""))
     may = (whole & (F.octet_length(text) > MAX_NAME)) | (nests & (levels > MAX_LEVELS))
     return F.coalesce(may, F.lit(False))
 

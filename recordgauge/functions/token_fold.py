@@ -1,14 +1,22 @@
-"""Read a JSON text of any depth, width and length, token by token.
+r"""Read a JSON text of any depth, width and length, by rewriting it.
 
 Spark's JSON parser has limits on nesting levels, lengths of names and strings, and sizes of
-values. What it refuses only for these is read here with built-in functions that have none: a
-regular expression cuts the text into tokens, and one fold over them follows the grammar by a
-table. The kinds of the open objects and arrays are kept as bits, ``STACK_BITS`` to a number, so
-that a level costs a bit and a step does not copy the levels below. Possessive quantifiers keep
-the expression from recursing.
-
-The fold also keeps what a contract asks of the top level: which of its names the object has and
-the last value of its vocabulary field.
+values. What it refuses only for these is read here with built-in functions that have none.
+Regular expressions rewrite the whole text at once, so that a token costs nanoseconds; possessive
+quantifiers keep them from recursing.
+
+First the text becomes a shape of the characters ``{}[],pv``: ``p`` is a name with its colon, ``v``
+any other value. Every later rewriting keeps a valid shape valid and an invalid one invalid:
+
+* An object or array of nothing but ``v`` is a ``v``.
+* A ``v`` beside another element of the same array, or a ``pv`` in an object, can go.
+* What is left is peaks: a run of opening brackets, then one of closing brackets, with a separator
+  before the next peak, ``,`` in an array and ``;`` (for ``,p``) in an object.
+
+One fold over the peaks keeps the open brackets as a text. A chain of any depth is a single peak.
+
+Of a valid object, the names that a contract asks for are looked for at all levels; a fold over
+those found adds up the brackets between them and keeps what is at the top level.
 """
 
 from __future__ import annotations
@@ -18,58 +26,82 @@ from pyspark.sql import functions as F
 
 from recordgauge.contract import Contract
 
-STACK_BITS = 60
-
-# Tokens of RFC 8259: string, number, word, white space; any other character is one of its own.
+# Tokens of RFC 8259.
 _STRING = r'"(?:[^"\\\x00-\x1F]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
 _NUMBER = r"-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+"
-_TOKEN = rf"(?s){_STRING}|{_NUMBER}|true|false|null|[ \t\n\r]++|."
-
-# Kinds of tokens.
-_OPEN_OBJECT, _CLOSE_OBJECT, _OPEN_ARRAY, _CLOSE_ARRAY, _COMMA, _COLON, _TEXT, _SCALAR, _SPACE, _BAD = range(10)
-_N_KINDS = _SPACE  # of those that the grammar sees
-# The first characters of tokens, with their kinds. A quote, a sign or a letter alone is bad.
-_FIRST = (*zip("{}[],:", range(6), strict=True), ('"', _TEXT), *((c, _SCALAR) for c in "-tfn0123456789"), *((c, _SPACE) for c in " \t\n\r"))
-_ALONE_BAD = '"-tfn'
-
-# What the grammar expects next. Only an opening bracket leads to the second and third.
-_VALUE, _VALUE_OR_END, _NAME_OR_END, _NAME, _COLON_NEXT, _AFTER_VALUE, _FAILED = range(7)
-# The innermost open one.
-_NOTHING, _ARRAY, _OBJECT = range(3)
-
-
-def _following(expects: int, inner: int, kind: int) -> int:
-    if expects in (_VALUE, _VALUE_OR_END):
-        if kind in (_TEXT, _SCALAR) or (kind == _CLOSE_ARRAY and expects == _VALUE_OR_END):
-            return _AFTER_VALUE
-        return {_OPEN_OBJECT: _NAME_OR_END, _OPEN_ARRAY: _VALUE_OR_END}.get(kind, _FAILED)
-    if expects in (_NAME_OR_END, _NAME):
-        if kind == _CLOSE_OBJECT and expects == _NAME_OR_END:
-            return _AFTER_VALUE
-        return _COLON_NEXT if kind == _TEXT else _FAILED
-    if expects == _COLON_NEXT:
-        return _VALUE if kind == _COLON else _FAILED
-    if expects == _AFTER_VALUE and inner != _NOTHING:
-        if kind == _COMMA:
-            return _NAME if inner == _OBJECT else _VALUE
-        if kind == (_CLOSE_OBJECT if inner == _OBJECT else _CLOSE_ARRAY):
-            return _AFTER_VALUE
-    return _FAILED
-
-
-_GRAMMAR = [_following(e, i, k) for e in range(_FAILED + 1) for i in range(3) for k in range(_N_KINDS)]
-
-
-def _numbers(values: list[int]) -> Column:
-    return F.expr(f"array({','.join(map(str, values))})")
-
-
-def _kind(token: Column) -> Column:
-    characters = "".join(c for c, _ in _FIRST)
-    alone = [_BAD, *(_BAD if c in _ALONE_BAD else kind for c, kind in _FIRST)]
-    longer = [_BAD, *(kind for _, kind in _FIRST)]
-    place = F.instr(F.lit(characters), F.substring(token, 1, 1)) + 1
-    return F.element_at(_numbers(alone + longer), F.when(F.length(token) > 1, place + len(alone)).otherwise(place))
+_STRINGS_END = rf'\A[^"]*+(?:{_STRING}[^"]*+)*+\z'
+# Characters that no JSON text holds stand for a string and another scalar.
+_TEXT, _SCALAR = "\x01", "\x02"
+
+#: How often flat objects and arrays are taken for values before the rest is put in order.
+_FLATTENED = 3
+_FLAT = r"\{(?:pv(?:,pv)*+)?+\}|\[(?:v(?:,v)*+)?+\]"
+_ORDERED = (
+    # Beside an opening bracket.
+    (r"\[(?:v,)++(?=[v\[{])", "["),
+    (r"\{(?:pv,)++(?=p)", "{"),
+    # Between closing brackets, and between a closing and an opening one.
+    (r"(?<=[\]}])(?:,v)++(?=\])", ""),
+    (r"(?<=[\]}])(?:,pv)++(?=\})", ""),
+    (r"(?<=[\]}])(?:,v)*+,(?=[\[{])", ","),
+    (r"(?<=[\]}])(?:,pv)*+,p(?=[\[{])", ";"),
+    # The innermost, then objects that open; ``<`` is an object whose name was seen.
+    (r"\[v\]", "[]"),
+    (r"\{(?:pv)?+\}", "<}"),
+    (r"\{p(?=[\[{<])", "<"),
+)
+_PEAK = r"[\[<]++[\]}]++"
+_PEAKS = rf"\A{_PEAK}(?:[,;]{_PEAK})*+\z"
+
+# Strings and names of a text that is known to be valid.
+_VALID_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_ESCAPED = r'[^"\\]*+(?:\\.[^"\\]*+)++'
+_SPACE = r"[ \t\n\r]*+"
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)``, as an element, so that the value is made once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _shape(text: Column) -> Column:
+    """The text as a shape; NULL if a token is none of JSON's."""
+
+    def lettered(tokens: Column) -> Column:
+        pairs = F.regexp_replace(F.regexp_replace(tokens, f"{_TEXT}:", "p"), f"[{_TEXT}{_SCALAR}]", "v")
+        return F.when(tokens.rlike(rf"\A[{{}}\[\],:{_TEXT}{_SCALAR}]*+\z"), pairs)
+
+    strings = F.regexp_replace(text, _STRING, _TEXT)
+    tokens = F.regexp_replace(F.regexp_replace(strings, rf"{_NUMBER}|true|false|null", _SCALAR), r"[ \t\n\r]++", "")
+    usable = text.rlike(_STRINGS_END) & ~text.rlike(f"[{_TEXT}{_SCALAR}]")
+    return F.when(usable, _once(tokens, lettered))
+
+
+def _closes(peaks: Column) -> Column:
+    """Whether each closing bracket meets its opening one, and each separator its kind."""
+
+    def step(opened: Column, peak: Column) -> Column:
+        separated = F.when(peak.startswith(","), opened.endswith("[")).when(peak.startswith(";"), opened.endswith("<")).otherwise(True)
+        higher = F.concat(opened, F.regexp_replace(peak, r"[,;\]}]++", ""))
+        closing = F.reverse(F.regexp_replace(peak, r"[,;\[<]++", ""))
+        closed = F.replace(F.replace(closing, F.lit("]"), F.lit("[")), F.lit("}"), F.lit("<"))
+        left = _once(higher, lambda h: F.when(h.endswith(closed), F.substring(h, F.lit(1), F.length(h) - F.length(closed))))
+        return F.when(separated, left)
+
+    units = F.regexp_extract_all(peaks, F.lit(f"[,;]?+{_PEAK}"), F.lit(0))
+    return F.coalesce(F.aggregate(units, F.lit(""), step) == "", F.lit(False))
+
+
+def _is_json(text: Column) -> Column:
+    def judged(shape: Column) -> Column:
+        for pattern, instead in _ORDERED:
+            shape = F.regexp_replace(shape, pattern, instead)
+        return _once(shape, lambda s: F.when(s == "v", True).when(s.rlike(_PEAKS), _closes(s)).otherwise(False))
+
+    shape = _shape(text)
+    for _ in range(_FLATTENED):
+        shape = F.regexp_replace(shape, _FLAT, "v")
+    return F.coalesce(judged(shape), F.lit(False))
 
 
 def _decoded(token: Column, longest: int) -> Column:
@@ -81,84 +113,61 @@ def _decoded(token: Column, longest: int) -> Column:
     return F.when(short, F.when(token.contains("\\"), escaped).otherwise(plain))
 
 
-def _step(contract: Contract, state: Column, token: Column) -> Column:
+def _found(text: Column, contract: Contract) -> Column:
+    """``names`` and ``word`` of a text that is a valid object."""
     known = [*dict.fromkeys((*contract.required, contract.vocab_field))]
-    expects, inner, top, size, below = (state[n] for n in ("expects", "inner", "top", "size", "below"))
-    following = F.element_at(_numbers(_GRAMMAR), (expects * 3 + inner) * _N_KINDS + token["kind"] + 1)
-
-    def moved(following: Column) -> Column:
-        opens = following.isin(_VALUE_OR_END, _NAME_OR_END)
-        closes = (following == _AFTER_VALUE) & token["kind"].isin(_CLOSE_OBJECT, _CLOSE_ARRAY)
-        # ``top`` and ``below`` are the open ones around the innermost, the outermost's being nothing.
-        bit = (inner == _OBJECT).cast("bigint")
-        full, empty = size == STACK_BITS, size == 0
-        around = F.when(empty, F.try_element_at(below, F.lit(-1))).otherwise(top)
-        left = F.when(empty, F.lit(STACK_BITS)).otherwise(size) - 1
-        outermost = (size == 1) & (F.size(below) == 0)
-        is_value = (expects == _VALUE) & (inner == _OBJECT) & outermost & state["name"].isNotNull()
+    longest = max(map(len, (*known, *contract.vocab)))
+    spelt = "|".join("".join(rf"\x{{{ord(c):x}}}" for c in name) for name in known)
+    named = rf'"(?:{spelt}|{_ESCAPED})"{_SPACE}:{_SPACE}'
+    # Other strings go, and with them their brackets.
+    slim = F.regexp_replace(text, rf"(?s)({named}(?:{_VALID_STRING})?+)|{_VALID_STRING}", "$1")
+    # Each name that may be meant, with what lies before it; the rest is not searched again and again.
+    units = F.regexp_extract_all(slim, F.lit(rf'(?s)\G[^"]*+{named}(?:{_VALID_STRING})?+'), F.lit(0))
+
+    def unit(u: Column) -> Column:
+        before = F.regexp_extract(u, r'\A[^"]*+', 0)
+        name = F.regexp_extract(u, rf'(?s)\A[^"]*+({_VALID_STRING})', 1)
+        value = F.regexp_extract(u, rf'(?s)\A[^"]*+{_VALID_STRING}{_SPACE}:{_SPACE}({_VALID_STRING})?+', 1)
+        opened, closed = (F.length(F.regexp_replace(before, b, "")) for b in (r"[\]}]++", r"[\[{]++"))
         return F.struct(
-            following.alias("expects"),
-            F.when(opens, following)
-            .when(closes, F.when(outermost, _NOTHING).otherwise((around.bitwiseAND(F.lit(1)) + 1).cast("int")))
-            .otherwise(inner)
-            .alias("inner"),
-            F.when(opens, F.when(full, bit).otherwise(top * 2 + bit)).when(closes, F.shiftright(around, 1)).otherwise(top).alias("top"),
-            F.when(opens, F.when(full, 1).otherwise(size + 1)).when(closes, left).otherwise(size).alias("size"),
-            F.when(opens & full, F.array_append(below, top))
-            .when(closes & empty, F.slice(below, F.lit(1), F.size(below) - 1))
-            .otherwise(below)
-            .alias("below"),
-            F.when((following == _COLON_NEXT) & outermost, F.when(token["text"].isin(*known), token["text"]))
-            .otherwise(state["name"])
-            .alias("name"),
-            F.when(is_value, F.array_union(state["names"], F.array(state["name"]))).otherwise(state["names"]).alias("names"),
-            F.when(is_value & (state["name"] == contract.vocab_field), token["text"]).otherwise(state["word"]).alias("word"),
+            (opened - closed).alias("rise"),
+            _once(name, lambda n: _decoded(n, longest)).alias("name"),
+            F.when(value != "", _decoded(value, longest)).alias("value"),
         )
 
-    # As an element, so that the table is asked once.
-    return F.when(expects == _FAILED, state).otherwise(F.transform(F.array(following), moved)[0])
+    def step(state: Column, u: Column) -> Column:
+        depth = state["depth"] + u["rise"]
+        meant = (depth == 1) & F.coalesce(u["name"].isin(*known), F.lit(False))
+        return F.struct(
+            depth.alias("depth"),
+            F.when(meant, F.array_union(state["names"], F.array(u["name"]))).otherwise(state["names"]).alias("names"),
+            F.when(meant & (u["name"] == contract.vocab_field), u["value"]).otherwise(state["word"]).alias("word"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), *(c.alias(n) for n, c in _nothing()))
+    return F.aggregate(F.transform(units, unit), start, step, lambda end: F.struct(end["names"].alias("names"), end["word"].alias("word")))
+
+
+def _nothing() -> list[tuple[str, Column]]:
+    return [("names", F.array().cast("array<string>")), ("word", F.lit(None).cast("string"))]
 
 
 def read_tokens(text: Column, contract: Contract) -> Column:
     """``is_json``, ``nests`` (it is an object or array), ``names`` (those of the contract that
     the object has) and ``word`` (the vocabulary field's last value, if a string)."""
-    longest = max(map(len, (*contract.required, contract.vocab_field, *contract.vocab)))
-    tokens = F.filter(
-        F.transform(
-            F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)),
-            lambda t: F.struct(_kind(t).alias("kind"), F.when(t.startswith('"'), _decoded(t, longest)).alias("text")),
-        ),
-        lambda t: t["kind"] != _SPACE,
-    )
-    none, no_text = F.array().cast("array<string>"), F.lit(None).cast("string")
-    start = F.struct(
-        F.lit(_VALUE).alias("expects"),
-        F.lit(_NOTHING).alias("inner"),
-        F.lit(0).cast("bigint").alias("top"),
-        F.lit(0).alias("size"),
-        F.array().cast("array<bigint>").alias("below"),
-        no_text.alias("name"),
-        none.alias("names"),
-        no_text.alias("word"),
-    )
-
-    def read(tokens: Column) -> Column:
-        nests = F.coalesce(F.try_element_at(tokens, F.lit(1))["kind"].isin(_OPEN_OBJECT, _OPEN_ARRAY), F.lit(False))
-        followed = F.aggregate(
-            tokens,
-            start,
-            lambda state, token: _step(contract, state, token),
-            lambda end: F.struct(
-                ((end["expects"] == _AFTER_VALUE) & (end["inner"] == _NOTHING)).alias("is_json"),
-                nests.alias("nests"),
-                end["names"].alias("names"),
-                end["word"].alias("word"),
+    begins = F.ltrim(text, F.lit(" \t\n\r"))
+
+    def read(is_json: Column) -> Column:
+        empty = F.struct(*(c.alias(n) for n, c in _nothing()))
+        found = F.when(is_json & begins.startswith("{"), _found(text, contract)).otherwise(empty)
+        return _once(
+            found,
+            lambda f: F.struct(
+                is_json.alias("is_json"),
+                F.coalesce(begins.startswith("{") | begins.startswith("["), F.lit(False)).alias("nests"),
+                f["names"].alias("names"),
+                f["word"].alias("word"),
             ),
         )
-        # Most text that is not JSON has a character that no token allows, and is not followed.
-        bad = F.exists(tokens, lambda t: t["kind"] == _BAD)
-        refused = F.struct(F.lit(False).alias("is_json"), nests.alias("nests"), none.alias("names"), no_text.alias("word"))
-        return F.when(bad, refused).otherwise(followed)
 
-    # As an element, so that the tokens are made once.
-    return F.transform(F.array(tokens), read)[0]
+    return _once(_is_json(text), read)
